@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, license_scan, mixing
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .parity_join import ngram_jaccard_join
@@ -30,6 +31,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), size=20, texts=False)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return license_scan.license_scan(documents.withColumn("path", license_scan.document_path()))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,18 +57,29 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(write_tokens(table(spark, sf_dir, "documents"), new_store_path(spark), tokenizer_path()))
 
 
+def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_source_mixture": op8_source_mixture,
     "op9_token_output": op9_token_output,
+    "op10_chat_perspectives": op10_chat_perspectives,
 }
 
 SQL: dict[str, str] = {
@@ -106,4 +123,7 @@ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.o = e.x),
 g AS (SELECT doc_id, min(o) AS component_id FROM r GROUP BY 1)
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM w LEFT JOIN z USING (doc_id) JOIN g USING (doc_id)""",
+    "op2_license_scan": license_scan.oracle(),
+    "op8_source_mixture": mixing.oracle(),
+    "op10_chat_perspectives": chat.SQL,
 }

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import NULL_ID, partitions_for, shared_dir, text_bytes
+from ._common import partitions_for, shared_dir, text_bytes
 
 END_ID = 1
 #: Parquet writer settings: rows groups and pages by size, dictionary pages for ids, delta encoding for metadata.
@@ -115,15 +115,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     kept = ["doc_id", *keep]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in placed.select(*kept).schema) + "n_tokens long, tokens array<int>"
     rows = placed.select("doc_id", "text", *keep).mapInArrow(lambda b: _tokenize(b, tokenizer_path, end_id, kept), schema)
-    rows.withColumn("part", F.spark_partition_id()).write.options(**TOKEN_OPTIONS).parquet(f"{path}/tokens")
+    rows.withColumn("row_id", F.monotonically_increasing_id()).write.options(**TOKEN_OPTIONS).parquet(f"{path}/tokens")
     store = TokenStore(spark, path)
-    # Partitions follow one another, so a document starts at its partition's start plus what is before it there.
-    lengths = store.tokens().select("doc_id", "n_tokens", "part")
+    # row_id is partition * 2^33 + row, and partitions follow one another: a document starts at its partition's
+    # start plus what is before it there.
+    lengths = store.tokens().select("doc_id", "n_tokens", "row_id", F.shiftright("row_id", 33).alias("part"))
     totals = lengths.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))  # one row for each partition
-    order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = lengths.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("start"), "n_tokens", "part")
-    starts.sortWithinPartitions("part", "doc_id").write.options(**META_OPTIONS).parquet(f"{path}/metadata")
+    order = Window.partitionBy("part").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = lengths.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("start"), "n_tokens", "row_id")
+    starts.sortWithinPartitions("row_id").write.options(**META_OPTIONS).parquet(f"{path}/metadata")
     return store
 
 
@@ -132,14 +133,13 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("tokens")
         ids, cut = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
         crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        yield pa.record_batch([batch.column("doc_id"), pa.array(crc, pa.int64())], ["doc_id", "ids_crc32"])
+        yield pa.record_batch([batch.column("row_id"), pa.array(crc, pa.int64())], ["row_id", "ids_crc32"])
 
 
 def token_digest(store: TokenStore) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each stored document, all from the files."""
-    crc = store.tokens().select("doc_id", "tokens").mapInArrow(_crc, "doc_id long, ids_crc32 long")
-    key = F.coalesce("doc_id", F.lit(NULL_ID)).alias("_key")
-    return store.metadata().select("doc_id", "start", "n_tokens", key).join(crc.select(key, "ids_crc32"), "_key").drop("_key")
+    """doc_id, start, n_tokens and ids_crc32 of each stored row, all from the files."""
+    crc = store.tokens().select("row_id", "tokens").mapInArrow(_crc, "row_id long, ids_crc32 long")
+    return store.metadata().join(crc, "row_id").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def new_store_path(spark: SparkSession) -> str:
