@@ -84,12 +84,12 @@ def cosines(docs: DataFrame, text_col: str = "text", id_col: str = "path") -> Da
     spark = docs.sparkSession
     n, idf = inverse_frequencies(docs, text_col)
     rare = 1 + math.log(1 + n)  # of any term that no template has
-    must = F.lit("|".join(map(re.escape, _mandatory(idf))))
-    base = docs.select(id_col, F.col(text_col).alias("_text")).where(F.regexp_like(F.lower("_text"), must))
-    whole = base.select(id_col, F.lit(-1).alias("line"), "_text")
-    lines = base.select(id_col, F.posexplode(F.split("_text", "\n")).alias("line", "_text")).where(F.regexp_like(F.lower("_text"), must))
+    must = F.array(*map(F.lit, _mandatory(idf)))
+    base = docs.select(id_col, F.col(text_col).alias("_text")).where(F.arrays_overlap(_terms(F.col("_text")), must))
+    units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.col("_text").alias("text"))), F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))))
     unit = [id_col, "line"]
-    tf = whole.unionByName(lines).select(*unit, F.explode(_terms(F.col("_text"))).alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf"))
+    parts = base.select(id_col, F.explode(units).alias("_u")).select(id_col, "_u.line", _terms(F.col("_u.text")).alias("_terms")).where(F.arrays_overlap("_terms", must))
+    tf = parts.select(*unit, F.explode("_terms").alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf"))
     weights = _table(spark, list(idf.items()), "term string, idf double")
     tf = stored(tf.join(weights, "term", "left").select(*unit, "term", "tf", F.when(F.col("idf").isNull(), F.lit(rare)).otherwise(F.col("idf")).alias("idf"), F.col("idf").isNotNull().alias("known")), "licence-terms")
     norms = tf.groupBy(*unit).agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
