@@ -75,13 +75,17 @@ def stops(ids: Column, text: Column, most: int, end: int, strings: list[str]) ->
     return out
 
 
+def _equals(ids: Column, n: int, tail: Column):
+    return lambda i: F.slice(ids, i, n) == tail
+
+
 def prompt_lookup(ids: Column, longest: int, ahead: int) -> Column:
     """What follows the first earlier place of the text's last n ids, for the greatest n that has one."""
     out = None
     for n in range(longest, 0, -1):
         tail = F.slice(ids, F.greatest(F.size(ids) - n + 1, F.lit(1)), F.lit(n))
         starts = F.when(F.size(ids) > n, F.sequence(F.lit(1), F.size(ids) - n)).otherwise(F.array().cast("array<int>"))
-        at = F.array_min(F.filter(starts, lambda i, n=n, tail=tail: F.slice(ids, i, n) == tail))
+        at = F.array_min(F.filter(starts, _equals(ids, n, tail)))
         found = F.when(at.isNotNull(), F.slice(ids, at + n, ahead))
         out = found if out is None else F.coalesce(out, found)
     return F.coalesce(out, F.array().cast("array<bigint>"))

@@ -291,7 +291,7 @@ def char_word_index(text: Column) -> Column:
     chars = F.split(text, "")
     seen = F.sequence(F.lit(1), F.length(text))
     start = lambda i: (~F.element_at(chars, i).isin(" ", "\t", "\r", "\n")) & ((i == 1) | F.element_at(chars, F.greatest(i - 1, F.lit(1))).isin(" ", "\t", "\r", "\n"))
-    counted = F.aggregate(F.when(F.length(text) > 0, seen).otherwise(F.array().cast("array<int>")), F.array().cast("array<int>"), lambda acc, i: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(-1)) + start(i).cast("int"))))
+    counted = F.aggregate(F.when(F.length(text) > 0, seen).otherwise(F.array().cast("array<int>")), F.array().cast("array<int>"), lambda acc, i: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + start(i).cast("int"))))
     return counted
 
 

@@ -14,6 +14,11 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
 
+def with_scalar(v: Column, scalar: Column, fn) -> Column:
+    """fn(x, scalar) of each x: the scalar is worked out once, which a lambda that holds it would do for every x."""
+    return F.zip_with(v, F.array_repeat(scalar, F.size(v)), fn)
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y))
 
@@ -28,15 +33,13 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """x / |x|; a zero vector has no direction and gives NaN."""
-    length = norm(v)
-    return F.transform(doubles(v), lambda x: F.when(length == 0, F.lit(float("nan"))).otherwise(x / length))
+    return with_scalar(doubles(v), norm(v), lambda x, n: F.when(n == 0, F.lit(float("nan"))).otherwise(x / n))
 
 
 def softmax(v: Column) -> Column:
     """Max-shifted; an empty array stays empty."""
-    most = F.array_max(v)
-    e = F.transform(doubles(v), lambda x: F.exp(x - most))
-    return F.transform(e, lambda x: x / total(e))
+    e = with_scalar(doubles(v), F.array_max(doubles(v)), lambda x, most: F.exp(x - most))
+    return with_scalar(e, total(e), lambda x, t: x / t)
 
 
 def sigmoid(x: Column) -> Column:
@@ -49,7 +52,7 @@ def mean_pool(vectors: Column, mask: Column, weighted: bool = False) -> Column:
     weight = F.zip_with(mask, place, lambda m, i: m.cast("double") * (i.cast("double") if weighted else F.lit(1.0)))
     scaled = F.zip_with(vectors, weight, lambda v, w: F.transform(doubles(v), lambda x: x * w))
     zero = F.transform(doubles(F.element_at(vectors, 1)), lambda x: x * 0)
-    return F.transform(F.aggregate(scaled, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y)), lambda x: x / total(weight))
+    return with_scalar(F.aggregate(scaled, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y)), total(weight), lambda x, t: x / t)
 
 
 def first_pool(vectors: Column) -> Column:
@@ -63,9 +66,9 @@ def last_pool(vectors: Column) -> Column:
 def standardize(v: Column, length: Column, pad: float = 0.0) -> Column:
     """(x - mean) / sqrt(var + 1e-7) over the first `length` values, pad after them."""
     own = F.slice(doubles(v), F.lit(1), length)
-    mean = total(own) / F.size(own)
-    var = total(F.transform(own, lambda x: (x - mean) * (x - mean))) / F.size(own)
-    return F.concat(F.transform(own, lambda x: (x - mean) / F.sqrt(var + 1e-7)), F.array_repeat(F.lit(pad), F.size(v) - F.size(own)))
+    centred = with_scalar(own, total(own) / F.size(own), lambda x, mean: x - mean)
+    spread = F.sqrt(total(F.transform(centred, lambda x: x * x)) / F.size(own) + 1e-7)
+    return F.concat(with_scalar(centred, spread, lambda x, s: x / s), F.array_repeat(F.lit(pad), F.size(v) - F.size(own)))
 
 
 def padded(v: Column, length: Column, pad: Column, left: bool = False) -> Column:

@@ -114,11 +114,12 @@ def choice_grid(spark, d):
     return rows.groupBy("c_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("choices"))
 
 
-@query("arrays_to_structs", "SELECT l_orderkey, list({'line': l_linenumber, 'quantity': l_quantity} ORDER BY l_linenumber) AS items FROM lineitem GROUP BY 1")
+@query("arrays_to_structs", "SELECT l_orderkey, list(l_linenumber || ':' || CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, l_quantity) AS items FROM lineitem GROUP BY 1")
 def arrays_to_structs(spark, d):
+    """Parallel arrays to an array of structs, shown as text."""
     g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity")))).alias("r"))
     parallel = g.select("l_orderkey", F.col("r.line").alias("line"), F.col("r.quantity").alias("quantity"))
-    return parallel.select("l_orderkey", F.arrays_zip("line", "quantity").alias("items"))
+    return parallel.select("l_orderkey", F.transform(F.arrays_zip("line", "quantity"), lambda x: F.concat_ws(":", x["line"], x["quantity"].cast("bigint"))).alias("items"))
 
 
 @query("label_pairs", "SELECT item_id, trim(l) AS label, text AS premise, 'This example is ' || trim(l) || '.' AS hypothesis FROM benchmark, (SELECT unnest(string_split('sport, law ,art', ',')) AS l)")
@@ -130,7 +131,7 @@ def label_pairs(spark, d):
 
 @query("duration_minutes", "SELECT event_id, CAST(round_even(epoch(ts) / 60.0 - floor(epoch(ts) / 3600.0) * 60, 0) AS BIGINT) AS minutes FROM events")
 def duration_minutes(spark, d):
-    s = F.unix_micros("ts") / 1e6
+    s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     return table(spark, d, "events").select("event_id", F.bround(s / 60.0 - F.floor(s / 3600.0) * 60, 0).cast("long").alias("minutes"))
 
 

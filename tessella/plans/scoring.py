@@ -147,9 +147,10 @@ def error_counts(spark, d):
     return table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("error")).agg(F.count("*").alias("n"), F.max("l_orderkey").alias("last"))
 
 
-@query("error_details", "SELECT o_custkey, count(*) AS n, list({'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus} ORDER BY o_orderkey) AS details FROM orders GROUP BY 1")
+@query("error_details", "SELECT o_custkey, count(*) AS n, list(o_orderkey || ':' || o_orderstatus ORDER BY o_orderkey) AS details FROM orders GROUP BY 1")
 def error_details(spark, d):
-    return E.counted_details(table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderstatus")
+    rows = E.counted_details(table(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderstatus")
+    return rows.withColumn("details", F.transform("details", lambda x: F.concat_ws(":", x["o_orderkey"], x["o_orderstatus"])))
 
 
 @query("model_error_top", """WITH f AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)

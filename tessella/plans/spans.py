@@ -126,7 +126,7 @@ def suppress_boxes(spark, d):
     """Greedy non-maximum suppression per brand, over boxes that part sizes and numbers give."""
     p = table(spark, d, "part").select("p_brand", "p_partkey", (F.col("p_partkey") % 50).cast("double").alias("x0"), (F.col("p_size") % 50).cast("double").alias("y0"), F.col("p_retailprice").alias("score"))
     boxes = p.withColumn("x1", F.col("x0") + 5).withColumn("y1", F.col("y0") + 5)
-    return boxes.groupBy("p_brand").applyInPandas(S.suppress_overlapping, boxes.schema)
+    return boxes.groupBy("p_brand").applyInPandas(lambda pdf: S.suppress_overlapping(pdf), boxes.schema)
 
 
 @query("label_align", f"WITH {_PIECES} SELECT event_id, i, CASE WHEN i = 1 THEN 3 ELSE -100 END AS label FROM p")
@@ -156,10 +156,10 @@ def masked_softmax(spark, d):
     return p.select("vec_id", F.round(F.element_at("p", 1), 6).alias("null_score"), F.posexplode("p").alias("k", "v")).select("vec_id", "k", F.round(F.when(F.col("k") == 0, 0.0).otherwise(F.col("v")), 6).alias("p"), "null_score")
 
 
-@query("cell_means", "SELECT p_brand, p_size, round(avg(p_retailprice), 6) AS mean FROM part GROUP BY ALL HAVING avg(p_retailprice) > 1000")
+@query("cell_means", "SELECT p_brand, p_size, round(avg(p_retailprice), 6) AS mean FROM part GROUP BY ALL HAVING avg(p_retailprice) > 950")
 def cell_means(spark, d):
     """Means of a table's cells over their tokens, above a threshold."""
-    return table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("m")).where("m > 1000").select("p_brand", "p_size", F.round("m", 6).alias("mean"))
+    return table(spark, d, "part").groupBy("p_brand", "p_size").agg(F.avg("p_retailprice").alias("m")).where("m > 950").select("p_brand", "p_size", F.round("m", 6).alias("mean"))
 
 
 @query("regroup_chunks", "SELECT l_orderkey, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1")

@@ -9,13 +9,14 @@ from .registry import query
 
 
 def events(spark, d):
-    return S.replay(spark, f"{d}/events.parquet")
+    """Event times as instants: the session's time zone is that of the table (UTC)."""
+    return S.replay(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("stream_tumbling", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
     out = S.drained(S.tumbling(events(spark, d), "ts", "event_type", "value", "1 hour", "40 days"), mode="complete")
-    return out.withColumn("total", F.round("total", 4))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query(
@@ -25,7 +26,8 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNB
 SELECT min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, user_id, count(*) AS n FROM g GROUP BY user_id, k""",
 )
 def stream_sessions(spark, d):
-    return S.drained(S.sessions(events(spark, d), "ts", "user_id", "6 hours", "40 days"), mode="complete")
+    out = S.drained(S.sessions(events(spark, d), "ts", "user_id", "6 hours", "40 days"), mode="complete")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
 @query("stream_on_time", "SELECT event_id FROM events WHERE (user_id % 50) <= 30")

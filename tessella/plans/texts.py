@@ -36,12 +36,11 @@ one("split_punctuation", r"len(regexp_extract_all(text, '[!-/:-@\[-`{-~\p{P}]|[^
 one("basic_tokens", r"len(regexp_extract_all(strip_accents(lower(text)), '[!-/:-@\[-`{-~\p{P}]|[^\s!-/:-@\[-`{-~\p{P}]+'))", lambda t: F.size(T.basic_tokens(t)).cast("long"))
 one("lower_unicode_words", "array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''), ' ')", lambda t: F.array_join(T.tokens(F.lower(t)), " "))
 one("remove_numbers", r"array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\d|_|\*\*', '', 'g'))), chr(10))", lambda t: F.array_join(T.remove_numbers(F.split(t, "\n")), "\n"))
-one("expand_abbreviations", r"regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bmr\.', 'mister', 'g'), '(?i)\bst\.', 'saint', 'g'), '(?i)\bco\.', 'company', 'g')", lambda t: T.rewrite(t, tuple((rf"\b{a}\.", b) for a, b in T.ABBREVIATIONS if a in ("mr", "st", "co")), "(?i)"))
+one("expand_abbreviations", None, T.expand_abbreviations)
 one("strip_tags", "regexp_replace(text, '<.*?>', '', 'g')", T.strip_tags)
 one("strip_role_marks", "replace(replace(text, 'user' || chr(10) || chr(10), ''), 'assistant' || chr(10) || chr(10), '')", T.strip_role_marks)
 one("markdown_links", r"regexp_replace(text, '(https?://(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b[-a-zA-Z0-9()@:%_+.~#?&/=]*)', '[\1](\1)', 'g')", T.markdown_compatible)
 one("english_rewrite", None, T.english_rewrite)
-one("all_abbreviations", None, T.expand_abbreviations)
 one("symbols_and_diacritics", None, T.remove_symbols_and_diacritics)
 one("word_substitution", "array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), lambda w: CASE w WHEN 'the' THEN 'THE' WHEN 'of' THEN 'OF' ELSE w END), ' ')", lambda t: F.array_join(T.substitute_words(T.tokens(t), {"the": "THE", "of": "OF"}), " "))
 one("truncate_repetitions", None, lambda t: P.string_udf(P.truncate_repetitions)(t))
