@@ -8,85 +8,43 @@ the documents it wants.
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions_for, shared_dir, text_bytes
+from ._common import buffers, partitions_for, shared_dir, steps, text_bytes
+from .token_encoder import Encoder
 
 END_ID = 1
 #: Parquet writer settings: rows groups and pages by size, dictionary pages for ids, delta encoding for metadata.
 TOKEN_OPTIONS = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20)}
 META_OPTIONS = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "5000"}
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
-ENCODE_CHARS = 4 << 20
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 4 << 20
 
 
-class Encoder:
-    """Ids of texts, by way of a cache of words.
-
-    The tokenizer drops white space and never joins across it, so that a text's ids are those of its words, one
-    after another. This is checked when the encoder is made; any other tokenizer gets whole texts.
-    """
-
-    PROBE = "It's a test, naïve 12 thé́ é́x  \t don't!? #tag\n z y ́a 'S'll <|endoftext|> Σας İi ﬁ 你好 12:30\r\nend"
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.by_word = self.words([self.PROBE]) == self.whole([self.PROBE])
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # bytes split at ASCII white space only
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = list(set(chain.from_iterable(split)) - self.cache.keys())
-        self.cache.update(zip(new, self.whole([w.decode() for w in new])))
-        return [b"".join(map(self.cache.__getitem__, ws)) for ws in split]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return self.words(texts) if self.by_word else self.whole(texts)
-
-
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _encoder(path: str, end_id: int) -> Encoder:
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    encoder, end = _encoder(path), np.uint32(end_id).tobytes()
+    encoder = _encoder(path, end_id)
     for batch in batches:
-        at = 0
-        texts = batch.column("text").to_pylist()
-        while at < len(texts):
-            some, chars = at, 0
-            while at < len(texts) and (chars < ENCODE_CHARS or at == some):
-                chars += len(texts[at] or "")
-                at += 1
-            rows = [x + end for x in encoder.encode([t or "" for t in texts[some:at]])]
-            ids = np.frombuffer(b"".join(rows), np.uint32).astype(np.int32)
-            cut = np.concatenate([[0], np.cumsum([len(x) // 4 for x in rows])])
-            tokens = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))
-            step = batch.slice(some, at - some)
-            yield pa.record_batch([*(step.column(c) for c in keep), pa.array(np.diff(cut), pa.int64()), tokens], [*keep, "n_tokens", "tokens"])
+        for step in steps(batch, most=ENCODE_BYTES):
+            ids, size = encoder.encode(*buffers(step.column("text")))
+            cut = np.concatenate([[0], np.cumsum(size)])
+            tokens = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.view(np.int32), pa.int32()))
+            yield pa.record_batch([*(step.column(c) for c in keep), pa.array(size, pa.int64()), tokens], [*keep, "n_tokens", "tokens"])
 
 
 class TokenStore:

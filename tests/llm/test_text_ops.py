@@ -8,7 +8,8 @@ from tessella.llm import chat, license_scan, mixing, queries
 from tessella.llm.decontaminate import build_index, clean_documents, decontaminate, search
 from tessella.llm.quality import accepted_documents, quality_posteriors
 from tessella.llm.site_style import Page, extract_main_text
-from tessella.llm.token_store import Encoder, TokenStore, new_store_path, token_digest, write_tokens
+from tessella.llm.token_encoder import Encoder
+from tessella.llm.token_store import TokenStore, new_store_path, token_digest, write_tokens
 
 from . import brute
 
@@ -52,15 +53,33 @@ def tokenizer():
     return Tokenizer.from_file(queries.tokenizer_path())
 
 
-ODD = ["", " \n", "It's naïve, THE Naïve!", "x<|endoftext|> <|ENDOFTEXT|>", "é́ İstanbul ﬁne 12 345 a.,b .,", "word\x0bword next  para", "$$$ the*** an%%%, 'S'll don't", "你好 世界。", "a" * 5000, "\x00\x1c\x85x"]
+ODD = ["", " \n", "It's naïve, THE Naïve!", "x<|endoftext|> <|ENDOFTEXT|>", "é́ İstanbul ﬁne 12 345 a.,b .,", "word\x0bword next  para", "$$$ the*** an%%%, 'S'll don't", "你好 世界。", "a" * 5000, "\x00\x1c\x85x", "a<b <| |<|startoftext|>a (x)'s"]
 
 
 def test_encoder_equals_the_library(tokenizer, sf, spark):
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    own = Encoder(queries.tokenizer_path())
-    assert own.by_word
-    whole = [np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert own.encode([t.encode() for t in texts]) == whole
+    own = Encoder(queries.tokenizer_path(), 1)
+    assert own.by_piece
+    expected = [[*e.ids, 1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for block in (1, 7, len(texts)):  # a text's ids don't hang on what stands beside it
+        own.forget()
+        got = []
+        for at in range(0, len(texts), block):
+            raw = [t.encode() for t in texts[at : at + block]]
+            ids, size = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(int))
+            got += [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+        assert got == expected
+
+
+def test_another_tokenizer_gets_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, text = Encoder(path, 1), " two  spaces, kept"
+    assert not own.by_piece
+    ids, _ = own.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert ids.tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_token_store_round_trip(spark, tokenizer):
