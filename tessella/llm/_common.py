@@ -15,7 +15,7 @@ U64 = np.uint64
 #: Id that stands for a null doc_id inside packed blobs; it sorts before every other id.
 NULL_ID = -(2**63)
 #: Bytes of text that one vectorised step works on.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Text bytes that one partition of a packed shuffle should hold.
 PART_BYTES = 12_000_000
 
@@ -215,20 +215,16 @@ def deltas(a: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- membership filters
 
 
-def slot_filter(ids_df: DataFrame, column: str, log2_bits: int = 24) -> "SlotFilter":
-    """A filter of fixed size (2^log2_bits bits, 2 MB as set here) over ids. It never misses an id that is
-    in it; others pass by chance, so that callers use it to move less and not to decide."""
-    bits = 1 << log2_bits
-    slot = F.pmod(F.xxhash64(column), F.lit(bits))
-    rows = ids_df.where(F.col(column).isNotNull()).select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")).collect()
-    return SlotFilter(log2_bits, {r["bucket"]: bytes(r["bitmap"]) for r in rows}, ids_df.sparkSession)
-
-
 class SlotFilter:
-    def __init__(self, log2_bits: int, bitmaps: dict[int, bytes], spark: SparkSession):
+    """A filter of fixed size (2^log2_bits bits, 2 MB as set here) over ids. It never misses an id that is in it;
+    others pass by chance, so that callers use it to move less and not to decide."""
+
+    def __init__(self, ids_df: DataFrame, column: str, log2_bits: int = 24):
         self.bits = 1 << log2_bits
-        rows = [(b, bytearray(m)) for b, m in bitmaps.items()]
-        self.table = spark.createDataFrame(rows, "_bucket long, _bitmap binary")  # 4 KB for each of at most bits / 32768 buckets
+        slot = F.pmod(F.xxhash64(column), F.lit(self.bits))
+        known = ids_df.where(F.col(column).isNotNull()).select(slot.alias("slot"))
+        maps = known.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bitmap"))
+        self.table = stored(maps, "slots")  # 4 KB for each of at most bits / 32768 buckets
 
     def keep(self, df: DataFrame, column: str) -> DataFrame:
         slot = F.pmod(F.xxhash64(column), F.lit(self.bits))

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, U64, Words, buffers, deltas, down, ids, mix, pack, partitions_for, scaled, slot_filter, steps, stored, text_bytes, unpack, up
+from ._common import ASCII_SPACE, U64, SlotFilter, Words, buffers, deltas, down, ids, mix, pack, partitions_for, scaled, steps, stored, text_bytes, unpack, up
 
 SHINGLE = 5
 #: Similarity as a fraction: num / den.
 NUM, DEN = 80, 100
 #: Part entries that a task gathers before it sorts and sends them.
-RUN_PARTS = 2_000_000
+RUN_PARTS = 1_000_000
 #: Larger groups of texts that agree on a part are compared in blocks of this many.
 BLOCK = 2_000
 #: Bits of the dense sketch: a power of two, at least twice as many as the text has shingles, between these.
@@ -110,8 +110,8 @@ def _parts(sets: Sets, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for upper in (0, 1):  # parts of the text's own band, and those of the band below for its smaller partners
         scheme = np.maximum(band - upper, 0)
         most = _allowed(top[scheme] + top[scheme + 1])
-        least_partner = sets.size if upper else sets.size * DEN // NUM
-        need = np.minimum(most, _allowed(sets.size + least_partner)) + 1
+        partner = sets.size if upper else sets.size * DEN // NUM  # the largest that a link allows
+        need = np.minimum(most, _allowed(sets.size + partner)) + 1
         used = (sets.size > 0) & (need > 1) & (band >= upper)
         n = (most + 1) * 13 // 10 + 3
         at = np.flatnonzero(used[sets.text])
@@ -146,6 +146,7 @@ def _parts(sets: Sets, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _send_parts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    n_held = 0
 
     def flush() -> pa.RecordBatch:
         key, owner = map(np.concatenate, zip(*held))
@@ -165,8 +166,10 @@ def _send_parts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
             got = _parts(Sets(step.column("text")), ids(step.column("doc_id")))
             if len(got[0]):
                 held.append(got)
-            if sum(len(k) for k, _ in held) >= RUN_PARTS:
+                n_held += len(got[0])
+            if n_held >= RUN_PARTS:
                 yield flush()
+                n_held = 0
     if held:
         yield flush()
 
@@ -314,7 +317,7 @@ def _checked(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """a, b, ok for each pair, by the exact sets of its two texts."""
     pairs = stored(pairs, f"parity-{name}-pairs")
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    texts = slot_filter(used, "doc_id").keep(docs, "doc_id").dropDuplicates(["doc_id"])
+    texts = SlotFilter(used, "doc_id").keep(docs, "doc_id").dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, ok boolean"), f"parity-{name}-links")
 
@@ -367,7 +370,7 @@ class Join:
         classes = signed.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
         self.members = stored(signed.select("doc_id", *same).join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "parity-members")
         reps = self.members.where("doc_id = rep and n_shingles > 0").select("doc_id")
-        chosen = slot_filter(reps, "doc_id").keep(base.where("doc_id is not null"), "doc_id")
+        chosen = SlotFilter(reps, "doc_id").keep(base.where("doc_id is not null"), "doc_id")
         parts = partitions_for(spark, text_bytes(base))
         sent = chosen.select("doc_id", "text").mapInArrow(lambda b: _send_parts(b, parts), "part int, blob binary").repartitionById(parts, "part")
         groups = stored(sent.mapInArrow(_groups, "docs array<long>").distinct().select(F.xxhash64("docs").alias("gid"), "docs"), "parity-groups")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._common import ASCII_SPACE, U64, Words, buffers, deltas, down, ids, mix, pack, partitions_for, scaled, steps, text_bytes, unpack, up
 
 #: Windows that a task gathers before it sorts and sends them.
-RUN_WINDOWS = 2_000_000
+RUN_WINDOWS = 1_000_000
 WINDOWS, SPANS, TEXTS = 0, 1, 2
 ROUTED = "part int, kind int, blob binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
