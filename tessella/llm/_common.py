@@ -16,6 +16,8 @@ U64 = np.uint64
 NULL_ID = -(2**63)
 #: Bytes of text that one vectorised step works on.
 STEP_BYTES = 1 << 20
+#: Bytes of one Arrow batch to or from a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 #: Text bytes that one partition of a packed shuffle should hold.
 PART_BYTES = 12_000_000
 
@@ -47,6 +49,12 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
+    """mapInArrow in batches of BATCH_BYTES: both the JVM and the Python worker hold several batches at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 

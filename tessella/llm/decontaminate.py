@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NOT_ALNUM, U64, Words, buffers, deltas, down, ids, pack, steps, stored, text_bytes, unpack, up
+from ._common import NOT_ALNUM, U64, Words, buffers, deltas, down, ids, mapped, pack, steps, stored, text_bytes, unpack, up
 
 WINDOW = 10
 #: Words of a segment, as far as whole documents allow.
@@ -63,7 +63,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index: one row for each segment. A null text has no words; a null doc_id is kept as one."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return stored(base.mapInArrow(_index, "docs binary, terms binary, places binary"), "positional-index")
+    return stored(mapped(base, _index, "docs binary, terms binary, places binary"), "positional-index")
 
 
 class Segment:
@@ -207,13 +207,13 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, reach:
     Exact phrases of `window` words of an item (a shorter item is one phrase), or with `reach` proximity: all words
     of an item within `reach` words of its rarest.
     """
-    found = [index.mapInArrow(lambda b, p=Phrases(block, window): _search(b, p, reach), _FOUND) for block in _blocks(benchmark, id_col, text_col)]
+    found = [mapped(index, lambda b, p=Phrases(block, window): _search(b, p, reach), _FOUND) for block in _blocks(benchmark, id_col, text_col)]
     all_ = found[0]
     for x in found[1:]:
         all_ = all_.unionByName(x)
     if len(found) > 1:
         all_ = all_.groupBy("doc_id", "n_words").applyInArrow(_merged, _FOUND)
-    return all_.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit binary, items array<long>")
+    return mapped(all_, _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit binary, items array<long>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, reach: int | None = None) -> DataFrame:

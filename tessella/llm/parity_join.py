@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, U64, SlotFilter, Words, buffers, deltas, down, ids, mix, pack, partitions_for, scaled, steps, stored, text_bytes, unpack, up
+from ._common import ASCII_SPACE, U64, SlotFilter, Words, buffers, deltas, down, ids, mapped, mix, pack, partitions_for, scaled, steps, stored, text_bytes, unpack, up
 
 SHINGLE = 5
 #: Similarity as a fraction: num / den.
@@ -296,7 +296,7 @@ def _pairs_of(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Re
 def _candidates(rows: DataFrame, across: bool) -> DataFrame:
     """rows: gid, doc, n, sketch, label. Pairs that the sketches let link, smaller id first, each once."""
     rows = rows.select("gid", "doc", "n", "label", "sketch").repartition("gid").sortWithinPartitions("gid")
-    return rows.mapInArrow(lambda b: _pairs_of(b, across), "a long, b long").distinct()
+    return mapped(rows, lambda b: _pairs_of(b, across), "a long, b long").distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +319,7 @@ def _checked(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     texts = SlotFilter(used, "doc_id").keep(docs, "doc_id").dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, ok boolean"), f"parity-{name}-links")
+    return stored(mapped(both.select("a", "b", "text_a", "text_b"), _verify, "a long, b long, ok boolean"), f"parity-{name}-links")
 
 
 # ---------------------------------------------------------------- components
@@ -365,15 +365,15 @@ class Join:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         spark: SparkSession = docs.sparkSession
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        signed = stored(base.mapInArrow(_signed, "doc_id long, n long, f1 long, f2 long, sketch binary"), "parity-signed")
+        signed = stored(mapped(base, _signed, "doc_id long, n long, f1 long, f2 long, sketch binary"), "parity-signed")
         same = ["n", "f1", "f2"]
         classes = signed.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
         self.members = stored(signed.select("doc_id", *same).join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "parity-members")
         reps = self.members.where("doc_id = rep and n_shingles > 0").select("doc_id")
         chosen = SlotFilter(reps, "doc_id").keep(base.where("doc_id is not null"), "doc_id")
         parts = partitions_for(spark, text_bytes(base))
-        sent = chosen.select("doc_id", "text").mapInArrow(lambda b: _send_parts(b, parts), "part int, blob binary").repartitionById(parts, "part")
-        groups = stored(sent.mapInArrow(_groups, "docs array<long>").distinct().select(F.xxhash64("docs").alias("gid"), "docs"), "parity-groups")
+        sent = mapped(chosen.select("doc_id", "text"), lambda b: _send_parts(b, parts), "part int, blob binary").repartitionById(parts, "part")
+        groups = stored(mapped(sent, _groups, "docs array<long>").distinct().select(F.xxhash64("docs").alias("gid"), "docs"), "parity-groups")
         about = signed.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "n", "sketch").dropDuplicates(["doc"])
         rows = groups.select("gid", F.explode("docs").alias("doc")).join(about, "doc")
         tried = _checked(base, _candidates(rows.withColumn("label", F.lit(0)), across=False), "first")

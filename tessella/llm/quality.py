@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, Words, buffers, steps, stored
+from ._common import ASCII_SPACE, Words, buffers, mapped, steps, stored
 
 FEATURES = ("upper", "digit", "symbol", "shout", "bar", "repeat", "few_distinct", "word_length", "log_words", "long_words")
 #: Labelled rows that the classifier is fitted on at most, chosen by hash.
@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `rows` ids and labels
-    table = found.select("text", "quality").mapInArrow(_featured, "x array<double>, quality int").toArrow()
+    table = mapped(found.select("text", "quality"), _featured, "x array<double>, quality int").toArrow()
     if not table.num_rows:
         return None
     x = np.array(table.column("x").to_pylist()).reshape(table.num_rows, -1)
@@ -141,7 +141,7 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, host_col: str = "sour
     if weights is None:
         one = F.lit(1.0)
         return base.select("doc_id", F.lit(None).cast("double").alias("evidence"), one.alias("host_posterior"), one.alias("path_posterior"), one.alias("posterior"), F.lit(True).alias("accepted"))
-    scored = stored(base.mapInArrow(lambda b: _evidence(b, weights), "doc_id long, host string, path string, p double"), "quality-evidence")
+    scored = stored(mapped(base, lambda b: _evidence(b, weights), "doc_id long, host string, path string, p double"), "quality-evidence")
     paths = stored(scored.where("p is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     within = lambda g: g.withColumn("w", F.col("q") - F.col("s") * F.col("s") / F.col("n"))

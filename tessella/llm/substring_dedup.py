@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, U64, Words, buffers, deltas, down, ids, mix, pack, partitions_for, scaled, steps, text_bytes, unpack, up
+from ._common import ASCII_SPACE, U64, Words, buffers, deltas, down, ids, mapped, mix, pack, partitions_for, scaled, steps, text_bytes, unpack, up
 
 #: Windows that a task gathers before it sorts and sends them.
 RUN_WINDOWS = 1_000_000
@@ -232,8 +232,8 @@ def substring_dedup(docs: DataFrame, size: int = 20, texts: bool = True, id_col:
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = partitions_for(spark, text_bytes(base))
-    windows = base.mapInArrow(lambda b: _hash_windows(b, size, parts), ROUTED).repartitionById(parts, "part")
-    spans = windows.mapInArrow(lambda b: _settle(b, parts), ROUTED)
-    sent = base.mapInArrow(lambda b: _send_texts(b, parts), ROUTED)
+    windows = mapped(base, lambda b: _hash_windows(b, size, parts), ROUTED).repartitionById(parts, "part")
+    spans = mapped(windows, lambda b: _settle(b, parts), ROUTED)
+    sent = mapped(base, lambda b: _send_texts(b, parts), ROUTED)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return sent.unionByName(spans).repartitionById(parts, "part").mapInArrow(lambda b: _cut(b, size, texts), out)
+    return mapped(sent.unionByName(spans).repartitionById(parts, "part"), lambda b: _cut(b, size, texts), out)

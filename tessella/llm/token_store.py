@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import buffers, partitions_for, shared_dir, steps, text_bytes
+from ._common import buffers, mapped, partitions_for, shared_dir, steps, text_bytes
 from .token_encoder import Encoder
 
 END_ID = 1
@@ -72,7 +72,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     placed = base.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     kept = ["doc_id", *keep]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in placed.select(*kept).schema) + "n_tokens long, tokens array<int>"
-    rows = placed.select("doc_id", "text", *keep).mapInArrow(lambda b: _tokenize(b, tokenizer_path, end_id, kept), schema)
+    rows = mapped(placed.select("doc_id", "text", *keep), lambda b: _tokenize(b, tokenizer_path, end_id, kept), schema)
     rows.withColumn("row_id", F.monotonically_increasing_id()).write.options(**TOKEN_OPTIONS).parquet(f"{path}/tokens")
     store = TokenStore(spark, path)
     # row_id is partition * 2^33 + row, and partitions follow one another: a document starts at its partition's
@@ -96,7 +96,7 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_digest(store: TokenStore) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each stored row, all from the files."""
-    crc = store.tokens().select("row_id", "tokens").mapInArrow(_crc, "row_id long, ids_crc32 long")
+    crc = mapped(store.tokens().select("row_id", "tokens"), _crc, "row_id long, ids_crc32 long")
     return store.metadata().join(crc, "row_id").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
