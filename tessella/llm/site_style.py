@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import mapped, stored
 
-#: Importance below which a branch goes, and the different pages of a host that must show it.
+#: Importance below which a branch goes, and the pages of a host that must show it.
 LEAST_IMPORTANCE = 0.3
 LEAST_PAGES = 4
 #: Weight of what is below a node in its importance, for each child.
@@ -148,10 +148,11 @@ class Page:
         block()
 
     def text(self, low: frozenset[str] = frozenset()) -> str:
-        """The main text: blocks that are neither declared nor measured to be template; only those of the article where the page has one."""
+        """The main text: blocks that are neither declared nor measured to be template; only those of the article
+        where the page has one. Where all blocks measure low, pages are copies and nothing tells template from text: all stay."""
         whole = [b for b in self.blocks if not b[2]]
-        inside = [b for b in whole if b[3]]
-        return "\n".join(b[1] for b in inside or whole if not _under(b[0], low, KEPT_INSIDE if b[3] else frozenset()))
+        main = [b for b in whole if b[3]] or whole
+        return "\n".join(b[1] for b in [b for b in main if not _under(b[0], low, KEPT_INSIDE if b[3] else frozenset())] or main)
 
 
 def _under(style: str, low: frozenset[str], but: frozenset[str] = frozenset()) -> bool:
@@ -172,17 +173,11 @@ def _under(style: str, low: frozenset[str], but: frozenset[str] = frozenset()) -
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Style nodes of each page: layout of children and texts, counted for the batch. A page that repeats
-    another of the batch word for word counts once."""
+    """Style nodes of each page: layout of children and texts, counted for the batch."""
     for batch in batches:
         counts: Counter[tuple[str, str, str, int]] = Counter()
-        seen: set[tuple[str, int]] = set()
         for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             page, site = Page(source or ""), host(url)
-            name = (site, hash_of("\n".join(b[1] for b in page.blocks if not b[2])))
-            if name in seen:
-                continue
-            seen.add(name)
             for e in page.elements:
                 counts[site, e.style, "layout", hash_of("".join(e.children))] += 1
             for style, text, _, _ in page.blocks:
@@ -202,7 +197,7 @@ def hash_of(text: str) -> int:
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, style, pages, layout, content: the entropies (0 to 1) of each style node of each host."""
-    seen = pages.select("url", "html").mapInArrow(_nodes, "host string, style string, kind string, value long, n long").groupBy("host", "style", "kind", "value").agg(F.sum("n").alias("n"))
+    seen = mapped(pages.select("url", "html"), _nodes, "host string, style string, kind string, value long, n long").groupBy("host", "style", "kind", "value").agg(F.sum("n").alias("n"))
     n = F.sum("n")
     entropy = F.when(n > 1, (F.log(n) - F.sum(F.col("n") * F.log("n")) / n) / F.log(n)).otherwise(1.0)
     by_kind = seen.groupBy("host", "style", "kind").agg(n.alias("n"), entropy.alias("h"))
@@ -241,5 +236,5 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     low = stored(low_branches(style_tree(base)), "style-low")
-    named = base.mapInArrow(_with_host, "page_id long, url string, html string, host string")
-    return named.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    named = mapped(base, _with_host, "page_id long, url string, html string, host string")
+    return mapped(named.join(low, "host", "left").select("page_id", "url", "html", "low"), _extract, "page_id long, url string, text string, n_chars long")
