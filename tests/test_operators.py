@@ -226,3 +226,25 @@ def test_timestamp_rules():
     out = L.timestamp_rules([0.0] * 6, [4, 5], first=4, end=3)
     assert all(math.isinf(x) for x in out[4:]) and out[0] == 0.0
     assert all(math.isinf(x) for x in L.timestamp_rules([0.0] * 6, [1, 4], first=4, end=3)[:3])
+
+
+def test_asof_and_range_join(spark):
+    from tessella.operators import joins as J
+
+    left = spark.createDataFrame([("a", 1), ("a", 5), ("b", 3)], "k string, t long")
+    right = spark.createDataFrame([("a", 1, 10.0), ("a", 4, 40.0), ("b", 9, 90.0)], "k string, t long, v double")
+    assert {(r.k, r.t): r.v for r in J.asof_join(left, right, "k", "t", "v").collect()} == {("a", 1): 10.0, ("a", 5): 40.0, ("b", 3): None}
+    p = spark.createDataFrame([(0.5,), (9.9,), (10.0,)], "x double")
+    r = spark.createDataFrame([(0.0, 10.0), (9.0, 12.0), (3.0, 3.0)], "lo double, hi double")
+    assert sorted((a.x, a.lo) for a in J.range_join(p, r, "x", "lo", "hi", 4.0).collect()) == [(0.5, 0.0), (9.9, 0.0), (9.9, 9.0), (10.0, 9.0)]
+
+
+def test_callbacks(spark, tmp_path):
+    from tessella.operators import mapping as M
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n long, s string")
+    assert [r.s for r in M.filter_rows(df, lambda pdf: pdf.n > 1).collect()] == ["b"]
+    assert sorted(r.m for r in M.map_rows(df, lambda r: {"m": r["n"] * 2}, "m long").collect()) == [2, 4]
+    df.write.parquet(str(tmp_path / "in.parquet"))
+    M.run_files(spark, str(tmp_path / "in.parquet"), str(tmp_path / "out"), lambda pdf: pdf[["n"]], "n long")
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
