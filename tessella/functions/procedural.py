@@ -123,13 +123,11 @@ def ordinal_words(n: int) -> str:
 
 
 def year_words(n: int) -> str:
-    """1001 to 2999 as they are read: two pairs, or thousands where the century is round or the two-thousands begin."""
+    """1001 to 2999: hundreds where the century is round, "two thousand" for the years up to 2009, else as any number."""
     high, low = divmod(n, 100)
     if n == 2000 or 2000 < n < 2010:
         return "two thousand" + (" " + number_words(low) if low else "")
-    if low == 0:
-        return number_words(high) + " hundred"
-    return number_words(high) + " " + ("oh " + ONES[low] if low < 10 else number_words(low).replace("-", " "))
+    return number_words(high) + " hundred" if low == 0 else number_words(n)
 
 
 def _money(amount: str, one: str, many: str, cent: str, cents: str) -> str:
@@ -146,7 +144,7 @@ def spell_numbers(text: str) -> str:
     text = re.sub(r"\$([\d.,]*\d+)", lambda m: _money(m[1], "dollar", "dollars", "cent", "cents"), text)
     text = re.sub(r"(\d+)\.(\d+)", r"\1 point \2", text)
     text = re.sub(r"(\d+)(?:st|nd|rd|th)\b", lambda m: ordinal_words(int(m[1])), text)
-    return re.sub(r"\d+", lambda m: year_words(int(m[0])) if 1000 < int(m[0]) < 3000 and len(m[0]) == 4 else number_words(int(m[0]))[: 10_000] if len(m[0]) < 19 else " ".join(ONES[int(c)] for c in m[0]), text)
+    return re.sub(r"\d+", lambda m: year_words(int(m[0])) if 1000 < int(m[0]) < 3000 and len(m[0]) == 4 else number_words(int(m[0])) if len(m[0]) < 19 else " ".join(ONES[int(c)] for c in m[0]), text)
 
 
 def speak_numbers(text: str) -> str:

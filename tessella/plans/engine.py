@@ -37,7 +37,7 @@ def asof_join(spark, d):
     return J.asof_join(e.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", "last_purchase").select("event_id", "last_purchase")
 
 
-@query("range_join", "SELECT p_partkey, b.lo FROM part, (SELECT unnest([900.0, 920.0, 940.0]) AS lo) b WHERE p_retailprice >= lo AND p_retailprice < lo + 30")
+@query("range_join", "SELECT p_partkey, b.lo FROM part, (SELECT CAST(unnest([900.0, 920.0, 940.0]) AS DOUBLE) AS lo) b WHERE p_retailprice >= lo AND p_retailprice < lo + 30")
 def range_join(spark, d):
     ranges = spark.createDataFrame([(900.0, 930.0), (920.0, 950.0), (940.0, 970.0)], "lo double, hi double")
     return J.range_join(table(spark, d, "part"), ranges, "p_retailprice", "lo", "hi", 30.0).select("p_partkey", "lo")
@@ -86,7 +86,7 @@ def mapped_batches(spark, d):
     return M.map_batches(kept, lambda pdf: pd.DataFrame({"event_id": pdf.event_id, "kind": pdf.event_type.str.upper()}), "event_id long, kind string")
 
 
-@query("retriever", "SELECT qid, list(text ORDER BY rank) AS docs FROM (SELECT q.vec_id AS qid, c.vec_id AS pid, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0) JOIN documents ON doc_id = pid WHERE rank <= 5 GROUP BY 1")
+@query("retriever", "SELECT qid, coalesce(list(text ORDER BY rank) FILTER (WHERE text IS NOT NULL), []) AS docs FROM (SELECT q.vec_id AS qid, c.vec_id AS pid, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0) LEFT JOIN documents ON doc_id = pid WHERE rank <= 5 GROUP BY 1")
 def retriever(spark, d):
     """Vectors in, documents out: search, attach, gather."""
     v = table(spark, d, "embeddings")

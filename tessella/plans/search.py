@@ -110,7 +110,7 @@ def stride_neighbors(spark, d):
     return lists.select("qid", stride_slice(F.col("neighbors"), 10).alias("neighbors"))
 
 
-@query("gather_text", f"WITH {_HITS} SELECT qid, list(text ORDER BY rank) AS texts FROM hits JOIN documents ON doc_id = pid WHERE rank <= 3 GROUP BY 1")
+@query("gather_text", f"WITH {_HITS} SELECT qid, coalesce(list(text ORDER BY rank) FILTER (WHERE text IS NOT NULL), []) AS texts FROM hits LEFT JOIN documents ON doc_id = pid WHERE rank <= 3 GROUP BY 1")
 def gather_text(spark, d):
     lists = retrieval.attach_neighbors(_asked(table(spark, d, "embeddings")).select(F.col("vec_id").alias("qid")), _hits(spark, d, 3))
     return retrieval.gather(lists, table(spark, d, "documents"), "qid", "neighbors", "doc_id", "text", "texts")

@@ -156,7 +156,7 @@ def test_digits_of_words(said, digits):
 
 @pytest.mark.parametrize(
     "text, said",
-    [("$5.50", "five dollars, fifty cents"), ("1,234", "one thousand two hundred thirty-four"), ("21st", "twenty-first"), ("in 1984", "in nineteen eighty four"), ("2005", "two thousand five"), ("3.5", "three point five")],
+    [("$5.50", "five dollars, fifty cents"), ("1,234", "one thousand two hundred thirty-four"), ("21st", "twenty-first"), ("in 1984", "in one thousand nine hundred eighty-four"), ("in 1900", "in nineteen hundred"), ("2005", "two thousand five"), ("3.5", "three point five")],
 )
 def test_spell_numbers(text, said):
     assert P.spell_numbers(text) == said
