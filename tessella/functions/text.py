@@ -49,7 +49,11 @@ SPECIAL_ANSWERS = ("yes", "no", "noanswer")
 def token_f1(prediction: Column, gold: Column) -> Column:
     """Struct f1, precision, recall. No overlap gives 0, also for two empty answers; a yes, no or noanswer that
     the other side does not equal gives 0."""
-    p, g = answer_tokens(prediction), answer_tokens(gold)
+    return f1_of_tokens(answer_tokens(prediction), answer_tokens(gold))
+
+
+def f1_of_tokens(p: Column, g: Column) -> Column:
+    """token_f1 of answers that are tokens already: columns, so that they are worked out once."""
     np_, ng = F.array_join(p, " "), F.array_join(g, " ")
     common = multiset_overlap(p, g)
     clash = (np_ != ng) & (np_.isin(*SPECIAL_ANSWERS) | ng.isin(*SPECIAL_ANSWERS))

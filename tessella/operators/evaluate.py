@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import exact_match, token_f1, token_f1_with_empty
+from ..functions.text import answer_tokens, exact_match, f1_of_tokens, token_f1_with_empty
 
 ROUND = 6
 
 
 def answer_scores(pairs: DataFrame, prediction: str = "prediction", gold: str = "gold") -> DataFrame:
     """pairs with em, f1, precision, recall."""
-    f = pairs.withColumn("_f", token_f1(F.col(prediction), F.col(gold))).withColumn("em", exact_match(F.col(prediction), F.col(gold)))
-    return f.select("*", F.col("_f.f1").alias("f1"), F.col("_f.precision").alias("precision"), F.col("_f.recall").alias("recall")).drop("_f")
+    split = pairs.withColumn("_p", answer_tokens(F.col(prediction))).withColumn("_g", answer_tokens(F.col(gold)))
+    f = split.withColumn("_f", f1_of_tokens(F.col("_p"), F.col("_g"))).withColumn("em", (F.array_join("_p", " ") == F.array_join("_g", " ")).cast("int"))
+    return f.select(*pairs.columns, "em", F.col("_f.f1").alias("f1"), F.col("_f.precision").alias("precision"), F.col("_f.recall").alias("recall"))
 
 
 def mean_scores(pairs: DataFrame, prediction: str = "prediction", gold: str = "gold") -> DataFrame:
