@@ -71,7 +71,7 @@ def _element(tag: str, attrs: str, up: Element) -> Element:
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id", "role"):
                 words.update(_WORD.findall(value))
-                names += "." + ".".join(value.split()) if key == "class" else ""
+                names += "." + ".".join(value.replace("/", ".").split()) if key == "class" else ""  # "/" is between styles
             else:
                 hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
     article = tag in ARTICLE or "main" in words and "role" in attrs
@@ -178,11 +178,13 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str, str, int]] = Counter()
         for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             page, site = Page(source or ""), host(url)
+            shown = [b for b in page.blocks if not b[2]]  # what is declared has no say in the importance of what holds it
             for e in page.elements:
-                counts[site, e.style, "layout", hash_of("".join(e.children))] += 1
-            for style, text, _, _ in page.blocks:
+                if not e.dropped:
+                    counts[site, e.style, "layout", hash_of("".join(e.children))] += 1
+            for style, text, _, _ in shown:
                 counts[site, style, "content", hash_of(text)] += 1
-            for style in {b[0] for b in page.blocks}:
+            for style in {b[0] for b in shown}:
                 counts[site, style, "page", 0] += 1
         if counts:
             keys = list(zip(*counts))
@@ -207,13 +209,17 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 def low_branches(tree: DataFrame) -> DataFrame:
     """host, low: styles of low composite importance. A leaf has its content's entropy; an inner node its
-    layout's and, by BELOW, the mean of what stands right below it."""
+    layout's and, by BELOW, the mean of what stands right below it, or what is more important anywhere below it."""
     deep = tree.withColumn("parent", F.regexp_extract("style", "^(.*)/[^/]*$", 1))
     below = deep.groupBy("host", F.col("parent").alias("style")).agg(F.avg(F.coalesce("content", "layout")).alias("below"), F.count("*").alias("children"))
     weight = F.pow(F.lit(BELOW), F.col("children"))
     own = F.coalesce("content", "layout")
     node = tree.join(below, ["host", "style"], "left").withColumn("importance", F.when(F.col("children").isNull(), own).otherwise(F.greatest(own, (1 - weight) * F.coalesce("layout", F.lit(0.0)) + weight * F.col("below"))))
-    return node.where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES)).groupBy("host").agg(F.collect_set("style").alias("low"))
+    parts = F.split("style", "/")
+    branches = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))  # that hold the node; the last is its own
+    held = node.select("host", "pages", "importance", F.col("style").alias("_node"), F.explode(branches).alias("style"))
+    lifted = held.groupBy("host", "style").agg(F.max("importance").alias("importance"), F.max(F.when(F.col("_node") == F.col("style"), F.col("pages"))).alias("pages"))
+    return lifted.where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES)).groupBy("host").agg(F.collect_set("style").alias("low"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,6 +241,6 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     repeat a page get a row each. Other columns are ignored; no rows give no rows.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    low = stored(low_branches(style_tree(base)), "style-low")
+    low = stored(low_branches(stored(style_tree(base), "style-tree")), "style-low")
     named = mapped(base, _with_host, "page_id long, url string, html string, host string")
     return mapped(named.join(low, "host", "left").select("page_id", "url", "html", "low"), _extract, "page_id long, url string, text string, n_chars long")

@@ -184,6 +184,18 @@ def test_style_tree_cuts_what_a_site_repeats(spark):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+def test_wrappers_have_the_importance_of_what_is_deep_below(spark):
+    """Nested wrappers on a host of many pages, with as many paragraphs on each; a template wrapper beside them goes."""
+    share = "".join(f"<div class=s{k}>Tell friend {k}</div>" for k in range(6))  # many low children beside one important
+    article = lambda k: f"<article><h1>Title {k}</h1><div class=entry><div class='text w-1/2'><p>First {k}.</p><p>Second {k * 7}.</p></div>{share}</div><div class=tail><div class=in><p>Thanks for reading</p></div></div></article>"
+    plain = lambda k: f"<div class=wrap><div class=inner><div class=text><p>First {k}.</p></div></div></div>"
+    top = "<div class=top><b>Our site</b><ul class=breadcrumb><li>Page %d</li></ul></div>"
+    rows = [(k, f"http://{h}.example/{k}", f"<html><body>{top % k}{page(k)}</body></html>") for h, page, at in (("a", article, 0), ("b", plain, 1000)) for k in range(at, at + 300)]
+    out = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[k] for k in range(300)] == [f"Title {k}\nFirst {k}.\nSecond {k * 7}." for k in range(300)]
+    assert [out[k] for k in range(1000, 1300)] == [f"First {k}." for k in range(1000, 1300)]
+
+
 def test_license_scan(spark):
     rows = [
         ("a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
