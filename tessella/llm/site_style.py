@@ -172,23 +172,31 @@ def _under(style: str, low: frozenset[str], but: frozenset[str] = frozenset()) -
 # ---------------------------------------------------------------- the tree of a host
 
 
+_NODE = pa.struct([("style", pa.string()), ("kind", pa.string()), ("value", pa.int64()), ("n", pa.int64())])
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Style nodes of each page: layout of children and texts, counted for the batch."""
+    """Each different page of the batch: its host, a hash of what its tree holds, and its style nodes with layout of
+    children and texts, counted."""
     for batch in batches:
-        counts: Counter[tuple[str, str, str, int]] = Counter()
+        pages: dict[tuple[str, int], list[dict]] = {}
         for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             page, site = Page(source or ""), host(url)
+            counts: Counter[tuple[str, str, int]] = Counter()
             shown = [b for b in page.blocks if not b[2]]  # what is declared has no say in the importance of what holds it
             for e in page.elements:
                 if not e.dropped:
-                    counts[site, e.style, "layout", hash_of("".join(e.children))] += 1
+                    counts[e.style, "layout", hash_of("".join(e.children))] += 1
             for style, text, _, _ in shown:
-                counts[site, style, "content", hash_of(text)] += 1
+                counts[style, "content", hash_of(text)] += 1
             for style in {b[0] for b in shown}:
-                counts[site, style, "page", 0] += 1
-        if counts:
-            keys = list(zip(*counts))
-            yield pa.record_batch([pa.array(keys[0]), pa.array(keys[1]), pa.array(keys[2]), pa.array(keys[3], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["host", "style", "kind", "value", "n"])
+                counts[style, "page", 0] += 1
+            if counts:
+                nodes = sorted(counts.items())
+                pages.setdefault((site, hash_of(repr(nodes))), [{"style": s, "kind": k, "value": v, "n": n} for (s, k, v), n in nodes])
+        if pages:
+            hosts, hashes = zip(*pages)
+            yield pa.record_batch([pa.array(hosts), pa.array(hashes, pa.int64()), pa.array(list(pages.values()), pa.list_(_NODE))], ["host", "page", "nodes"])
 
 
 def hash_of(text: str) -> int:
@@ -198,8 +206,10 @@ def hash_of(text: str) -> int:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, style, pages, layout, content: the entropies (0 to 1) of each style node of each host."""
-    seen = mapped(pages.select("url", "html"), _nodes, "host string, style string, kind string, value long, n long").groupBy("host", "style", "kind", "value").agg(F.sum("n").alias("n"))
+    """host, style, pages, layout, content: the entropies (0 to 1) of each style node over each host's different pages."""
+    shown = mapped(pages.select("url", "html"), _nodes, "host string, page long, nodes array<struct<style:string,kind:string,value:long,n:long>>")
+    different = shown.groupBy("host", "page").agg(F.first("nodes").alias("nodes"))  # a page counts once, however many copies a host has
+    seen = different.select("host", F.explode("nodes").alias("_n")).select("host", "_n.*").groupBy("host", "style", "kind", "value").agg(F.sum("n").alias("n"))
     n = F.sum("n")
     entropy = F.when(n > 1, (F.log(n) - F.sum(F.col("n") * F.log("n")) / n) / F.log(n)).otherwise(1.0)
     by_kind = seen.groupBy("host", "style", "kind").agg(n.alias("n"), entropy.alias("h"))

@@ -196,6 +196,15 @@ def test_wrappers_have_the_importance_of_what_is_deep_below(spark):
     assert [out[k] for k in range(1000, 1300)] == [f"First {k}." for k in range(1000, 1300)]
 
 
+def test_copies_of_a_page_count_once_in_its_site(spark):
+    """900 copies of one page, dealt over the partitions, take nothing from 100 others, and template text goes from all."""
+    html = "<html><body><div class=top>Our site</div><h2>Heading {0}</h2><div class=a>Alone {0}</div><p>One {0}</p><p>Two {0}</p></body></html>"
+    rows = [(k, f"http://h.example/{k}", html.format(min(k, 100))) for k in range(1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    out = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    assert out == {k: "Heading {0}\nAlone {0}\nOne {0}\nTwo {0}".format(min(k, 100)) for k in range(1000)}
+
+
 def test_license_scan(spark):
     rows = [
         ("a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
