@@ -263,6 +263,17 @@ def top_vocab(spark, d):
     return _ngrams(table(spark, d, "benchmark")).orderBy(F.col("cnt").desc(), "n", "ngram").limit(200)
 
 
+@query("corpus_ngram_counts")
+def corpus_ngram_counts(spark, d):
+    """ngram_counts over the whole corpus, as phrase mining has it; tests hold it against brute force."""
+    return _ngrams(docs(spark, d))
+
+
+@query("corpus_top_vocab")
+def corpus_top_vocab(spark, d):
+    return corpus_ngram_counts(spark, d).orderBy(F.col("cnt").desc(), "n", "ngram").limit(200)
+
+
 @query("symbol_pairs", "SELECT p_partkey, list_distinct(list_transform(range(1, length(p_brand)), lambda i: p_brand[i] || ' ' || p_brand[i + 1])) AS n FROM part".replace("list_distinct(", "len(list_distinct(").replace(") AS n", ")) AS n"))
 def symbol_pairs(spark, d):
     return table(spark, d, "part").select("p_partkey", F.size(T.symbol_pairs(F.split("p_brand", ""))).cast("long").alias("n"))

@@ -35,6 +35,20 @@ def test_hash_split_is_stable(spark):
     assert 850 < n < 1150 and n == df.repartition(7).where(O.hash_split(F.col("id")) == "test").count()
 
 
+def test_phrases_are_mined_from_all_documents(spark, tmp_path):
+    from collections import Counter
+
+    from tessella.plans.catalog import QUERIES
+
+    texts = ["a b c d e f g h", "a  b\n c", "b c", "x", "", None, "a b c d e f g h", "b c " * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [(t or "").split() for t in texts]
+    want = Counter((" ".join(w[i : i + n]), n) for w in words for n in range(2, 8) for i in range(len(w) - n + 1))
+    assert {(r.ngram, r.n): r.cnt for r in QUERIES["corpus_ngram_counts"](spark, str(tmp_path)).collect()} == want
+    top = sorted(((g, n, c) for (g, n), c in want.items()), key=lambda x: (-x[2], x[1], x[0]))[:200]
+    assert [(r.ngram, r.n, r.cnt) for r in QUERIES["corpus_top_vocab"](spark, str(tmp_path)).collect()] == top
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
