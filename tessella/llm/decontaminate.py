@@ -10,6 +10,7 @@ bounded size.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ def _segment(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Record
     step[first] = place[first]
     low, far = up(doc)
     blobs = [np.int64(low).tobytes() + pack(far, count), pack(deltas(term[first]), np.diff(np.append(first, len(term)))), pack(step)]
-    return pa.record_batch([pa.array([b], pa.binary()) for b in blobs], ["docs", "terms", "places"])
+    return pa.record_batch([pa.array([b], pa.binary()) for b in (uuid.uuid4().bytes, *blobs)], ["segment", "docs", "terms", "places"])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,9 +62,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: one row for each segment. A null text has no words; a null doc_id is kept as one."""
+    """The stored index: one row for each segment, with a name of its own. A null text has no words; a null doc_id is kept as one."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return stored(mapped(base, _index, "docs binary, terms binary, places binary"), "positional-index")
+    return stored(mapped(base, _index, "segment binary, docs binary, terms binary, places binary"), "positional-index")
 
 
 class Segment:
@@ -144,12 +145,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[pa.Tab
         yield base.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toArrow()  # BLOCK_BYTES at a time reach the driver
 
 
-_FOUND = "doc_id long, n_words long, hit binary, items array<long>"
+#: segment and row, its place there, tell document rows apart; doc_id may be null or repeated.
+_FOUND = "segment binary, row long, doc_id long, n_words long, hit binary, items array<long>"
 
 
 def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, reach: int | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("docs", "terms", "places"))):
+        for name, *row in zip(*(batch.column(c).to_pylist() for c in ("segment", "docs", "terms", "places"))):
             seg = Segment(*row, phrases.terms)
             size = int(seg.base[-1] + seg.count[-1] + GAP) if len(seg.doc) else 0
             edge = np.zeros(size + 1, np.int32)
@@ -177,7 +179,8 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, reach: int | No
             doc = pa.array(seg.doc, pa.int64(), mask=seg.doc == -(2**63))
             own = [np.packbits(hit[b : b + c]).tobytes() for b, c in zip(seg.base.tolist(), seg.count.tolist())]
             lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(found[:, 1], pa.int64()))
-            yield pa.record_batch([doc, pa.array(seg.count, pa.int64()), pa.array(own, pa.binary()), lists], ["doc_id", "n_words", "hit", "items"])
+            key = [pa.array([name] * len(seg.doc), pa.binary()), pa.array(np.arange(len(seg.doc)), pa.int64())]
+            yield pa.record_batch([*key, doc, pa.array(seg.count, pa.int64()), pa.array(own, pa.binary()), lists], ["segment", "row", "doc_id", "n_words", "hit", "items"])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +196,12 @@ def _either(one: bytes, two: bytes) -> bytes:
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    """The finds of several blocks for each document of a group of rows with one doc_id and length."""
+    """The finds of several blocks for one document row."""
     hit = table.column("hit").to_pylist()
     for x in hit[1:]:
         hit[0] = _either(hit[0], x)
     items = sorted({i for x in table.column("items").to_pylist() for i in x})
-    return table.slice(0, 1).select(["doc_id", "n_words"]).append_column("hit", pa.array(hit[:1], pa.binary())).append_column("items", pa.array([items], pa.list_(pa.int64())))
+    return table.slice(0, 1).select(["segment", "row", "doc_id", "n_words"]).append_column("hit", pa.array(hit[:1], pa.binary())).append_column("items", pa.array([items], pa.list_(pa.int64())))
 
 
 def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, reach: int | None = None, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +215,7 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, reach:
     for x in found[1:]:
         all_ = all_.unionByName(x)
     if len(found) > 1:
-        all_ = all_.groupBy("doc_id", "n_words").applyInArrow(_merged, _FOUND)
+        all_ = all_.groupBy("segment", "row").applyInArrow(_merged, _FOUND)
     return mapped(all_, _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit binary, items array<long>")
 
 

@@ -39,6 +39,20 @@ def test_decontamination_odd_rows(spark, monkeypatch):
     assert sorted(r.doc_id for r in clean_documents(d, b).where("doc_id is not null").collect()) == [1, 2]
 
 
+def test_blocks_of_the_benchmark_keep_every_row(spark, monkeypatch):
+    """Rows without an id or with a repeated one, and with as many words, stay rows of their own however many blocks there are."""
+    import tessella.llm.decontaminate as module
+
+    rows = [(None, "the cat sat"), (None, "a dog ran"), (7, "red fox here"), (7, "the cat sat"), (7, "the cat sat"), (8, None)]
+    d = spark.createDataFrame(rows, DOCS)
+    b = spark.createDataFrame([(1, "the cat sat"), (2, "red fox"), (3, "dog ran"), (4, "blue whale")], "item_id long, text string")
+    seen = lambda: sorted(((r.doc_id, r.n_words, r.n_hit, r.items) for r in decontaminate(d, b).collect()), key=repr)
+    expected = sorted([(None, 3, 3, [1]), (None, 3, 2, [3]), (7, 3, 2, [2]), (7, 3, 3, [1]), (7, 3, 3, [1]), (8, 0, 0, [])], key=repr)
+    assert seen() == expected
+    monkeypatch.setattr(module, "BLOCK_BYTES", 8)
+    assert seen() == expected
+
+
 def test_proximity_search(spark):
     docs = spark.createDataFrame([(1, "red and very big fox"), (2, "red a b c d e f g h i j fox"), (3, "fox red")], DOCS)
     items = spark.createDataFrame([(7, "red fox")], "item_id long, text string")
