@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Id that stands for a null doc_id inside packed blobs; it sorts before every other id.
 NULL_ID = -(2**63)
+#: Column that `keyed` adds, and the bits of a row's number in its file.
+ROW, FILE_BITS = "_tessella_row", 38
 #: Bytes of text that one vectorised step works on.
 STEP_BYTES = 1 << 20
 #: Bytes of one Arrow batch to or from a Python worker; a longer row is a batch of its own.
@@ -33,9 +35,12 @@ FOLD[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
+    """The folder that the driver and all executors share. Only a local session, whose executors are the driver, gets a
+    temporary one where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,11 +55,39 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow in batches of BATCH_BYTES: both the JVM and the Python worker hold several batches at a time."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """mapInArrow in batches of at most BATCH_BYTES: both the JVM and the Python worker hold several batches at a time.
+    The session's own limit stays where it is lower; it is read when the plan runs, so it is not set back."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
+def _scans_files(df: DataFrame) -> bool:
+    """Whether df is columns or rows of one file scan, so that each of its rows has a place in a file."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString()
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """df with ROW: a number of at most 62 bits that no other row has, and that stays the same when the table is read again.
+    Ids may be null or repeated, so rows are known by their place: that in the files of a scan, else that in a stored copy."""
+    if not _scans_files(df):
+        return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    spark, path, place = df.sparkSession, F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    files = sorted(r[0] for r in df.select(path).distinct().collect())  # no more than the scan's own list of files
+    if len(files) == 1:
+        return df.withColumn(ROW, place)
+    table = spark.createDataFrame([(f, k << FILE_BITS) for k, f in enumerate(files)], f"{ROW}_file string, {ROW}_first long")
+    placed = df.withColumn(ROW, place).withColumn(f"{ROW}_file", path).join(F.broadcast(table), f"{ROW}_file", "left")
+    return placed.withColumn(ROW, F.col(ROW) + F.col(f"{ROW}_first")).drop(f"{ROW}_file", f"{ROW}_first")
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import NOT_ALNUM, U64, Words, buffers, deltas, down, ids, mapped, pack, steps, stored, text_bytes, unpack, up
+from ._common import NOT_ALNUM, ROW, U64, Words, buffers, deltas, down, ids, keyed, mapped, pack, steps, stored, text_bytes, unpack, up
 
 WINDOW = 10
 #: Words of a segment, as far as whole documents allow.
@@ -231,6 +231,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without a word of a benchmark window, with all their columns."""
-    hit = decontaminate(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")), "left_anti")
+    """The rows of docs without a word of a benchmark window, with all their columns. Each row is judged by itself, also
+    where its id is null or repeated."""
+    rows = keyed(docs)
+    hit = search(build_index(rows, id_col=ROW), benchmark, window).where("contaminated").select(F.col("doc_id").alias(ROW))
+    return rows.join(hit, ROW, "left_anti").select(*docs.columns)

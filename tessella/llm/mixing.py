@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import ROW, keyed, stored
 
 LEVELS = ["domain", "lang", "source"]
 WORD = r"[^ \t\n\x0B\f\r]+"
@@ -89,35 +89,51 @@ def mix_sources(docs: DataFrame, mix: Mixture = Mixture(), domain: Column | None
     empty texts have no tokens and are taken 0 times. A null domain, language or source is the node "none". Rows that repeat a doc_id count each; they stand
     together in the order, so a prefix that ends there may cut any one of them. Other columns are ignored; no rows give no rows.
     """
+    return _taken(docs, mix, domain, id_col, text_col, [])
+
+
+def _taken(docs: DataFrame, mix: Mixture, domain: Column | None, id_col: str, text_col: str, keys: list[str]) -> DataFrame:
     none = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     named = docs.select(
-        F.col(id_col).alias("doc_id"), none(domain_of() if domain is None else domain).alias("domain"), none(F.col("lang")).alias("lang"), none(F.col("source")).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("n")
+        *keys,
+        F.col(id_col).alias("doc_id"),
+        none(domain_of() if domain is None else domain).alias("domain"),
+        none(F.col("lang")).alias("lang"),
+        none(F.col("source")).alias("source"),
+        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("n"),
     )
     counted = stored(named, "mixing-counts")
     leaves = leaf_budgets(counted, mix).withColumn("full", F.floor(F.col("budget") / F.col("tokens"))).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
     placed = counted.join(leaves, LEVELS, "left").withColumn("key", _order_key(mix, F.col("full")))
-    # Running sums of a leaf by buckets of the order key: first the buckets, then within each.
+    # Running sums of a leaf by buckets of the order key: first the buckets, then the cells of each. A cell has the rows of one key
+    # and length that one stored partition holds, so that rows which repeat an id, and so share a key, are never one window.
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
-    placed = stored(placed.withColumn("bucket", F.floor(place * F.ceil(F.coalesce("docs", F.lit(1)) / BUCKET_DOCS))), "mixing-placed")
+    placed = placed.withColumn("bucket", F.floor(place * F.ceil(F.coalesce("docs", F.lit(1)) / BUCKET_DOCS))).withColumn("part", F.spark_partition_id())
+    placed = stored(placed, "mixing-placed")
     sums = placed.groupBy(*LEVELS, "bucket").agg(F.sum("n").alias("sum"))
     ahead = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*LEVELS, "bucket", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy(*LEVELS, "bucket").orderBy("key", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = placed.withColumn("within", F.sum("n").over(within) - F.col("n")).join(sums, [*LEVELS, "bucket"])
-    prefix = F.greatest(F.lit(0), F.least(F.col("n"), F.col("rest") - F.col("ahead") - F.col("within")))
+    cell = [*LEVELS, "bucket", "key", "n", "part"]
+    cells = placed.groupBy(*cell).agg((F.count("*") * F.col("n")).alias("held"))
+    within = Window.partitionBy(*LEVELS, "bucket").orderBy("key", "n", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("within", F.sum("held").over(within) - F.col("held")).join(sums, [*LEVELS, "bucket"]).select(*cell, (F.col("ahead") + F.col("within")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy(*cell).orderBy(*(keys or ["doc_id"]))) - 1
+    at = placed.join(cells, cell).withColumn("nth", nth)
+    prefix = F.greatest(F.lit(0), F.least(F.col("n"), F.col("rest") - F.col("before") - F.col("n") * F.col("nth")))
     epochs = F.coalesce("full", F.lit(0)) + F.when((F.col("n") > 0) & (prefix == F.col("n")), 1).otherwise(0)
     take = F.coalesce(F.col("full") * F.col("n") + prefix, F.lit(0))
-    return at.select("doc_id", *LEVELS, F.col("n").alias("n_tokens"), F.when(F.col("n") > 0, epochs).otherwise(0).cast("long").alias("epochs"), take.cast("long").alias("take_tokens"))
+    return at.select(*keys, "doc_id", *LEVELS, F.col("n").alias("n_tokens"), F.when(F.col("n") > 0, epochs).otherwise(0).cast("long").alias("epochs"), take.cast("long").alias("take_tokens"))
 
 
 def mixed_documents(docs: DataFrame, mix: Mixture = Mixture(), domain: Column | None = None) -> DataFrame:
     """The columns of docs: each document once for every epoch that takes it, and the one that a leaf's prefix
     cuts, once more, with as many of its words as the prefix has, joined by spaces.
 
-    Documents are known by doc_id: rows that repeat one are mixed as one row.
+    Every row is mixed by itself, also where its id is null or repeated.
     """
-    taken = mix_sources(docs.dropDuplicates(["doc_id"]), mix, domain).where("take_tokens > 0").select(F.col("doc_id").alias("_id"), F.col("epochs").alias("_epochs"), (F.col("take_tokens") - F.col("epochs") * F.col("n_tokens")).alias("_cut"))
-    rows = docs.dropDuplicates(["doc_id"]).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    keys = keyed(docs)
+    taken = _taken(keys, mix, domain, "doc_id", "text", [ROW]).where("take_tokens > 0").select(ROW, F.col("epochs").alias("_epochs"), (F.col("take_tokens") - F.col("epochs") * F.col("n_tokens")).alias("_cut"))
+    rows = keys.join(taken, ROW)
     copies = F.concat(F.when(F.col("_epochs") > 0, F.array_repeat(F.lit(0).cast("long"), F.col("_epochs").cast("int"))).otherwise(F.array().cast("array<long>")), F.when(F.col("_cut") > 0, F.array("_cut")).otherwise(F.array().cast("array<long>")))
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_words").cast("int")), " ")
     out = rows.withColumn("_words", F.explode(copies)).withColumn("text", F.when(F.col("_words") > 0, words).otherwise(F.col("text")))

@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, Words, buffers, mapped, steps, stored
+from ._common import ASCII_SPACE, ROW, Words, buffers, keyed, mapped, steps, stored
 
 FEATURES = ("upper", "digit", "symbol", "shout", "bar", "repeat", "few_distinct", "word_length", "log_words", "long_words")
+LOG_WORDS = FEATURES.index("log_words")
 #: Labelled rows that the classifier is fitted on at most, chosen by hash.
 TRAIN_ROWS = 50_000
 #: Documents with a posterior below are rejected.
@@ -92,7 +93,8 @@ def _evidence(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterato
         for step in steps(batch):
             x = features(step.column("text"))
             p = 1 / (1 + np.exp(-np.clip(_design(x) @ weights, -30, 30)))
-            yield pa.record_batch([step.column("doc_id"), step.column("host"), step.column("path"), pa.array(p, mask=x[:, 8] == 0)], ["doc_id", "host", "path", "p"])
+            keys = [c for c in step.schema.names if c != "text"]
+            yield pa.record_batch([*(step.column(c) for c in keys), pa.array(p, mask=x[:, LOG_WORDS] == 0)], [*keys, "p"])
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +137,16 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, host_col: str = "sour
     their own. Labels that are null or repeated count once, the higher of two. Without labels of both classes every
     document is accepted, with posterior 1. Other columns are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0null")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("\0null")).alias("path"), "text")
+    return _posteriors(docs, labels, host_col, path_col, train_rows, [])
+
+
+def _posteriors(docs: DataFrame, labels: DataFrame, host_col: str, path_col: str, train_rows: int, keys: list[str]) -> DataFrame:
+    base = docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0null")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("\0null")).alias("path"), "text")
     weights = train(base, labels, train_rows)
     if weights is None:
         one = F.lit(1.0)
-        return base.select("doc_id", F.lit(None).cast("double").alias("evidence"), one.alias("host_posterior"), one.alias("path_posterior"), one.alias("posterior"), F.lit(True).alias("accepted"))
-    scored = stored(mapped(base, lambda b: _evidence(b, weights), "doc_id long, host string, path string, p double"), "quality-evidence")
+        return base.select(*keys, "doc_id", F.lit(None).cast("double").alias("evidence"), one.alias("host_posterior"), one.alias("path_posterior"), one.alias("posterior"), F.lit(True).alias("accepted"))
+    scored = stored(mapped(base, lambda b: _evidence(b, weights), "".join(f"{k} long, " for k in keys) + "doc_id long, host string, path string, p double"), "quality-evidence")
     paths = stored(scored.where("p is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     within = lambda g: g.withColumn("w", F.col("q") - F.col("s") * F.col("s") / F.col("n"))
@@ -155,10 +160,11 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, host_col: str = "sour
     near = near.withColumn("host_posterior", F.coalesce("host_posterior", F.lit(prior))).withColumn("path_posterior", F.coalesce("path_posterior", "host_posterior"))
     odds = _logit(F.col("p")) + _logit(F.col("path_posterior")) - _logit(F.lit(prior))
     posterior = F.coalesce(1 / (1 + F.exp(-odds)), F.col("path_posterior"))
-    return near.select("doc_id", F.col("p").alias("evidence"), "host_posterior", "path_posterior", posterior.alias("posterior"), (posterior >= THRESHOLD).alias("accepted"))
+    return near.select(*keys, "doc_id", F.col("p").alias("evidence"), "host_posterior", "path_posterior", posterior.alias("posterior"), (posterior >= THRESHOLD).alias("accepted"))
 
 
-def accepted_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns."""
-    bad = quality_posteriors(docs, labels, **options).where("not accepted").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")), "left_anti")
+def accepted_documents(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns. Each row is judged by itself, also where its id is null or repeated."""
+    rows = keyed(docs)
+    bad = _posteriors(rows, labels, host_col, path_col, train_rows, [ROW]).where("not accepted").select(ROW)
+    return rows.join(bad, ROW, "left_anti").select(*docs.columns)

@@ -323,3 +323,49 @@ def test_perspective_offsets_across_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(1, k, "ab"[k % 2], "x" * k) for k in range(11)], "conv_id long, turn long, role string, text string")
     parts = sorted((r for r in chat.rotate_perspectives(df).collect() if r.perspective == "a"), key=lambda r: r.turn)
     assert [r.start for r in parts] == [0, *[r.end for r in parts[:-1]]]
+
+
+def odd_ids(spark):
+    """Rows without an id and rows that repeat one, all of different texts, and two that are the same."""
+    rows = [(None, "the cat sat", "en", "src1"), (None, "a dog ran off", "en", "src1"), (7, "red fox", "en", "src1"), (7, "one two three four five", "en", "src1"), (7, "red fox", "en", "src1"), (8, "it is", "en", "src1")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).withColumn("rows", F.lit(1)).withColumn("part", F.lit("x"))
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("scan", [False, True])
+def test_row_keys_tell_all_rows_apart(spark, scan):
+    from tessella.llm._common import ROW, keyed, stored
+
+    df = stored(odd_ids(spark), "odd") if scan else odd_ids(spark)
+    rows = keyed(df)
+    assert rows.select(ROW).distinct().count() == rows.count() == 6
+    assert rows_of(rows) == rows_of(df)
+    assert sorted(r[0] for r in rows.where("doc_id = 7").select(ROW).collect()) == sorted(r[0] for r in rows.select(ROW, "doc_id").collect() if r[1] == 7)
+
+
+def test_every_row_is_mixed_by_itself(spark):
+    df = odd_ids(spark)
+    whole = mixing.mixed_documents(df, mixing.Mixture(share=1.0))
+    assert whole.columns == df.columns and rows_of(whole) == rows_of(df)
+    twice = mixing.mixed_documents(df, mixing.Mixture(share=2.0))
+    assert rows_of(twice) == sorted(rows_of(df) * 2, key=repr)
+    half = mixing.mixed_documents(df, mixing.Mixture(share=0.5))
+    n = lambda d: sum(len(r.text.split()) for r in d.collect())
+    assert n(half) == n(df) // 2
+    hot = spark.createDataFrame([(5, "a b", "en", "src1")] * 900 + [(5, "a b c", "en", "src1")] * 100, "doc_id long, text string, lang string, source string").repartition(7)
+    taken = mixing.mix_sources(hot, mixing.Mixture(share=0.31)).collect()
+    assert sum(r.take_tokens for r in taken) == int(2100 * 0.31) and sum(0 < r.take_tokens < r.n_tokens for r in taken) <= 1
+
+
+def test_a_bad_row_without_an_id_takes_no_other_with_it(spark):
+    d = odd_ids(spark)
+    b = spark.createDataFrame([(1, "the cat sat"), (2, "red fox")], "item_id long, text string")
+    assert rows_of(clean_documents(d, b)) == [(7, "one two three four five"), (8, "it is"), (None, "a dog ran off")]
+    text = lambda k, bad: " ".join(f"w{k * 7 + j}{'$$$' * bad}" for j in range(40))
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else 100 + k, text(k, k % 2), "s", "en") for k in range(120)] + [(1000 + k, text(k, k % 2), "s", "en") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    labels = spark.createDataFrame([(1000 + k, 1 - k % 2) for k in range(60)], "doc_id long, quality int")
+    assert rows_of(accepted_documents(docs, labels)) == sorted(((r[0], r[1]) for r in rows if "$" not in r[1]), key=repr)
