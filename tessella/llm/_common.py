@@ -96,6 +96,23 @@ def partitions_for(spark: SparkSession, n_bytes: int, part_bytes: int = PART_BYT
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // part_bytes))
 
 
+#: Keys with more than one row in so many are hot: there can be no more of them than this, so a table of them may be broadcast.
+HOT_KEYS = 4096
+
+
+def join_about(rows: DataFrame, about: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows left join about, which has one row for each key with the number of its rows in `count`, of `total` rows in all.
+
+    Hot keys are looked up in a broadcast table of at most HOT_KEYS rows, so that none of them is one task; others are shuffled.
+    """
+    extra = [c for c in about.columns if c not in keys and c != count]
+    hot = F.col(count) > total // HOT_KEYS
+    table = about.where(hot).select(*keys, *extra, F.lit(True).alias("_is_hot"))
+    near = rows.join(F.broadcast(table), keys, "left")
+    rest = near.where("_is_hot is null").select(*rows.columns).join(about.where(~hot).drop(count), keys, "left")
+    return near.where("_is_hot").select(*rows.columns, *extra).unionByName(rest.select(*rows.columns, *extra))
+
+
 # ---------------------------------------------------------------- hashing
 
 

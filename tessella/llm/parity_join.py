@@ -4,7 +4,8 @@ A text's sketch is the XOR of one bit for each of its shingles, so the bits in w
 number no more than the shingles in which the texts do. A link of sizes a and b allows at most
 d = floor((a + b) * (1 - J) / (1 + J)) of those. For each band of sizes the long sketch is cut into n > d parts, of which a
 text fills some f; a pair within d agrees on at least f - d parts that are not empty, so the d + 1 parts that come first in any
-order common to all texts hold one of them (pigeonhole, as prefix filtering has it). Parts with most shingles come first:
+order common to all texts hold one of them (pigeonhole, as prefix filtering has it); there are so many parts that f > d all but
+always. Parts with most shingles come first:
 a passage that many texts share seldom fills such a part alone. A part is sent as the XOR of its
 shingles' hashes with the text's id. Texts that agree on a part are compared by a short dense sketch, and
 those that may link are verified on their texts. Equal shingle sets are one class from the start.
@@ -12,6 +13,7 @@ those that may link are verified on their texts. Equal shingle sets are one clas
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, U64, SlotFilter, Words, buffers, deltas, down, ids, mapped, mix, pack, partitions_for, scaled, steps, stored, text_bytes, unpack, up
+from ._common import ASCII_SPACE, ROW, U64, SlotFilter, Words, buffers, deltas, down, ids, join_about, keyed, mapped, mix, pack, partitions_for, scaled, steps, stored, text_bytes, unpack, up
 
 SHINGLE = 5
 #: Similarity as a fraction: num / den.
@@ -28,6 +30,8 @@ NUM, DEN = 80, 100
 RUN_PARTS = 1_000_000
 #: Larger groups of texts that agree on a part are compared in blocks of this many.
 BLOCK = 2_000
+#: Logarithm of the chance, at most, that a text fills too few parts for the pigeonhole argument.
+UNFILLED = math.log(1e-12)
 #: Bits of the dense sketch: a power of two, at least twice as many as the text has shingles, between these.
 LEAST_BITS, MOST_BITS = 64, 8_192
 
@@ -100,11 +104,26 @@ def _bands(most: int) -> np.ndarray:
     return np.array(top, np.int64)
 
 
+def _part_counts(top: np.ndarray) -> np.ndarray:
+    """Parts of each scheme: about 1.3 for each difference that it allows, and for small sets as many more as it takes that a
+    text all but never (UNFILLED) fills too few: by the union bound, C(n, most) * (most / n) ** least size. In the smallest schemes a
+    part then holds a single shingle, which is prefix filtering."""
+    least, following = np.append(1, top[:-2] + 1), top[1:]
+    out = []
+    for size, most in zip(least.tolist(), _allowed(top[:-1] + following).tolist()):
+        n = (most + 1) * 13 // 10 + 3
+        while most and math.lgamma(n + 1) - math.lgamma(most + 1) - math.lgamma(n - most + 1) + size * math.log(most / n) > UNFILLED:
+            n += 1 + n // 16
+        out.append(n)
+    return np.array([*out, out[-1]], np.int64)
+
+
 def _parts(sets: Sets, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the parts that each text sends, and its id with 1 in the last bit where it is of the upper band."""
     if not len(sets.key):
         return np.zeros(0, U64), np.zeros(0, np.int64)
     top = _bands(int(sets.size.max()))
+    counts = _part_counts(top)
     band = np.searchsorted(top, sets.size)
     keys, owners = [], []
     for upper in (0, 1):  # parts of the text's own band, and those of the band below for its smaller partners
@@ -113,7 +132,7 @@ def _parts(sets: Sets, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         partner = sets.size if upper else sets.size * DEN // NUM  # the largest that a link allows
         need = np.minimum(most, _allowed(sets.size + partner)) + 1
         used = (sets.size > 0) & (need > 1) & (band >= upper)
-        n = (most + 1) * 13 // 10 + 3
+        n = counts[scheme]
         at = np.flatnonzero(used[sets.text])
         text, h = sets.text[at], sets.key[at]
         part = scaled(mix(h, 11), n[text])
@@ -135,7 +154,7 @@ def _parts(sets: Sets, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         send = rank < need[text]
         keys.append(key[send])
         owners.append(doc[text[send]] * 2 + upper)
-        # Too few filled parts for the argument: such texts also meet on the parts that both leave empty.
+        # Too few filled parts for the argument (one text in 10^12): such texts also meet on the parts that both leave empty.
         for k in np.flatnonzero(used & (filled < need)).tolist():
             empty = np.setdiff1d(np.arange(n[k]), part[text == k].astype(np.int64)).astype(U64)
             with np.errstate(over="ignore"):
@@ -163,7 +182,7 @@ def _send_parts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
 
     for batch in batches:
         for step in steps(batch):
-            got = _parts(Sets(step.column("text")), ids(step.column("doc_id")))
+            got = _parts(Sets(step.column("text")), ids(step.column("doc")))
             if len(got[0]):
                 held.append(got)
                 n_held += len(got[0])
@@ -294,7 +313,7 @@ def _pairs_of(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Re
 
 
 def _candidates(rows: DataFrame, across: bool) -> DataFrame:
-    """rows: gid, doc, n, sketch, label. Pairs that the sketches let link, smaller id first, each once."""
+    """rows: gid, doc, n, sketch, label. Pairs that the sketches let link, smaller number first, each once."""
     rows = rows.select("gid", "doc", "n", "label", "sketch").repartition("gid").sortWithinPartitions("gid")
     return mapped(rows, lambda b: _pairs_of(b, across), "a long, b long").distinct()
 
@@ -309,17 +328,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(some.num_rows):
                 both = np.sort(np.concatenate([one.of(i), two.of(i)]))
                 common = int((both[1:] == both[:-1]).sum())
-                ok.append(bool(len(both) and DEN * common >= NUM * (len(both) - common)))
-            yield pa.record_batch([some.column("a"), some.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+                ok.append((common, len(both) - common))
+            shared, union = (np.array(x, np.int64) for x in zip(*ok))
+            linked = (union > 0) & (DEN * shared >= NUM * union)
+            yield pa.record_batch([some.column("a"), some.column("b"), pa.array(shared), pa.array(union), pa.array(linked)], ["a", "b", "shared", "united", "ok"])
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """a, b, ok for each pair, by the exact sets of its two texts."""
+    """a, b, shared, united, ok for each pair, by the exact sets of its two texts."""
     pairs = stored(pairs, f"parity-{name}-pairs")
-    used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    texts = SlotFilter(used, "doc_id").keep(docs, "doc_id").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return stored(mapped(both.select("a", "b", "text_a", "text_b"), _verify, "a long, b long, ok boolean"), f"parity-{name}-links")
+    used = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc")))
+    texts = SlotFilter(used, "doc").keep(docs, "doc")
+    both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    return stored(mapped(both.select("a", "b", "text_a", "text_b"), _verify, "a long, b long, shared long, united long, ok boolean"), f"parity-{name}-links")
 
 
 # ---------------------------------------------------------------- components
@@ -329,21 +350,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, component (least node reachable) of every node of edges (a, b), by alternating large and small stars.
 
     Each round sends every node's neighbours to the least of them; rounds grow with the logarithm of the
-    longest path. Only a count and a checksum come to the driver.
+    longest path. Hubs with many neighbours are split. Only a count and a checksum come to the driver.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    before = None
+    mark = (now.count(), None)
     while True:
+        before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
+        large = join_about(both, stored(least, name), ["u"], "degree", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before:
             break
-        before = mark
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
 
@@ -356,35 +377,61 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in steps(batch):
             sets = Sets(step.column("text"))
             f = [pa.array(sets.sums(mix(sets.key, s)).view(np.int64)) for s in (21, 22)]
-            yield pa.record_batch([step.column("doc_id"), pa.array(sets.size, pa.int64()), *f, pa.array(sets.sketches(), pa.binary())], ["doc_id", "n", "f1", "f2", "sketch"])
+            yield pa.record_batch([step.column("doc"), step.column("doc_id"), pa.array(sets.size, pa.int64()), *f, pa.array(sets.sketches(), pa.binary())], ["doc", "doc_id", "n", "f1", "f2", "sketch"])
 
 
 class Join:
-    """The classes of equal sets, the links between classes, and the groups they form."""
+    """The classes of equal sets, the candidates between them, and on demand the links and the groups that they form.
+
+    Rows are known by their number (`keyed`), and a class by that of its first row, since ids may be repeated.
+    """
+
+    SAME = ["n", "f1", "f2"]
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         spark: SparkSession = docs.sparkSession
-        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        signed = stored(mapped(base, _signed, "doc_id long, n long, f1 long, f2 long, sketch binary"), "parity-signed")
-        same = ["n", "f1", "f2"]
-        classes = signed.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-        self.members = stored(signed.select("doc_id", *same).join(classes, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "parity-members")
-        reps = self.members.where("doc_id = rep and n_shingles > 0").select("doc_id")
-        chosen = SlotFilter(reps, "doc_id").keep(base.where("doc_id is not null"), "doc_id")
-        parts = partitions_for(spark, text_bytes(base))
-        sent = mapped(chosen.select("doc_id", "text"), lambda b: _send_parts(b, parts), "part int, blob binary").repartitionById(parts, "part")
-        groups = stored(mapped(sent, _groups, "docs array<long>").distinct().select(F.xxhash64("docs").alias("gid"), "docs"), "parity-groups")
-        about = signed.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "n", "sketch").dropDuplicates(["doc"])
-        rows = groups.select("gid", F.explode("docs").alias("doc")).join(about, "doc")
-        tried = _checked(base, _candidates(rows.withColumn("label", F.lit(0)), across=False), "first")
+        self.rows = keyed(docs)
+        self.base = self.rows.select(F.col(ROW).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.signed = stored(mapped(self.base, _signed, "doc long, doc_id long, n long, f1 long, f2 long, sketch binary"), "parity-signed")
+        first = F.min(F.struct("doc_id", "doc"))
+        named = self.signed.where("n > 0 and doc_id is not null").groupBy(*self.SAME).agg(first.alias("first"), F.count("*").alias("rows"))
+        self.classes = stored(named.select(*self.SAME, "first", "rows", F.col("first.doc").alias("rep")), "parity-classes")
+        reps = self.classes.select(F.col("rep").alias("doc"))
+        chosen = SlotFilter(reps, "doc").keep(self.base.where("doc_id is not null"), "doc")
+        parts = partitions_for(spark, text_bytes(self.base))
+        sent = mapped(chosen.select("doc", "text"), lambda b: _send_parts(b, parts), "part int, blob binary").repartitionById(parts, "part")
+        self.groups = stored(mapped(sent, _groups, "docs array<long>").distinct().select(F.xxhash64("docs").alias("gid"), "docs"), "parity-groups")
+        self.about = self.signed.join(reps, "doc", "left_semi").select("doc", "n", "sketch")
+        self.grouped = self.groups.select("gid", F.explode("docs").alias("doc"))
+
+    def links(self) -> DataFrame:
+        """a, b, shared, united: every link between two classes, by the numbers of their first rows, with the sizes of the intersection and the union."""
+        rows = self.grouped.join(self.about, "doc").withColumn("label", F.col("doc"))
+        return _checked(self.base, _candidates(rows, across=True), "all").where("ok").drop("ok")
+
+    def spanning_links(self) -> DataFrame:
+        """a, b: links enough to join all that any link joins. Pairs whose texts others have joined by then are not tried."""
+        rows = self.grouped.join(self.about, "doc")
+        tried = _checked(self.base, _candidates(rows.withColumn("label", F.lit(0)), across=False), "first")
         label = components(tried.where("ok"))
-        named = groups.select("gid", F.explode("docs").alias("doc")).join(label, F.col("doc") == F.col("node"), "left").select("gid", "doc", F.coalesce("component", "doc").alias("label"))
+        named = self.grouped.join(label, F.col("doc") == F.col("node"), "left").select("gid", "doc", F.coalesce("component", "doc").alias("label"))
         split = named.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gid")
-        rest = named.join(split, "gid", "left_semi").join(about, "doc")
+        rest = named.join(split, "gid", "left_semi").join(self.about, "doc")
         again = _candidates(rest, across=True).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        second = _checked(base, again, "second")
-        self.links = tried.unionByName(second).where("ok").select("a", "b")
-        self.components = components(self.links)
+        second = _checked(self.base, again, "second")
+        return tried.unionByName(second).where("ok").select("a", "b")
+
+    def members(self, links: DataFrame | None = None) -> DataFrame:
+        """doc, doc_id, n_shingles, head of every row: head is the least (doc_id, doc) of its group, null for rows that link with nothing."""
+        found = components(links if links is not None else self.spanning_links())
+        named = self.classes.join(found, F.col("rep") == F.col("node"), "left").select(*self.SAME, "first", "rows", F.coalesce("component", "rep").alias("group"))
+        heads = stored(named.groupBy("group").agg(F.min("first").alias("head"), F.count("*").alias("classes")), "parity-heads")
+        n = self.classes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        about = join_about(named.drop("first"), heads, ["group"], "classes", n[0]).select(*self.SAME, "head", "rows")
+        rows = self.signed.select("doc", "doc_id", *self.SAME)
+        linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+        joined = join_about(rows.where(linked), stored(about, "parity-about"), self.SAME, "rows", n[1])
+        return joined.unionByName(rows.where(~linked).withColumn("head", F.lit(None).cast(joined.schema["head"].dataType))).select("doc", "doc_id", F.col("n").alias("n_shingles"), "head")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,16 +439,36 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Words are runs of anything but ASCII white space, A-Z in lower case; a text's set holds its distinct runs
     of five words, or all its words where they are fewer. Texts link at Jaccard 0.8 or more; component_id is
-    the least doc_id reachable by links. Texts that are null or have no words have an empty set and link with nothing. Rows that repeat a doc_id get a row each; a
-    null doc_id links with nothing and has a null component. Other columns are ignored; no rows give no rows.
+    the least doc_id reachable by links. Texts that are null or have no words have an empty set and link with nothing. Rows that
+    repeat a doc_id get a row each and link each by its own text; a null doc_id links with nothing and has a null component. Other
+    columns are ignored; no rows give no rows.
+    """
+    members = Join(docs, id_col, text_col).members()
+    return members.select("doc_id", "n_shingles", F.coalesce("head.doc_id", "doc_id").alias("component_id"))
+
+
+def linked_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every link between different texts, and the texts' documents.
+
+    First: class_a, class_b, shared, united - each pair of different sets at Jaccard 0.8 or more, once, with the sizes of
+    intersection and union. Second: doc_id, class_id, n_links - a row for each input row, class_id null where the set is empty or
+    doc_id is null, n_links the number of other sets that its own links with. Copies are members of one class, not pairs.
+    Rules for words and odd rows are those of ngram_jaccard_join.
     """
     join = Join(docs, id_col, text_col)
-    found = join.components.select(F.col("node").alias("rep"), "component")
-    return join.members.join(found, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    links = join.links()
+    ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
+    counted = join.classes.join(ends.groupBy("rep").agg(F.count("*").alias("n_links")), "rep", "left").select(*join.SAME, F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "rows")
+    total = join.classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    rows = join.signed.select("doc_id", *join.SAME)
+    known = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    members = join_about(rows.where(known), stored(counted, "parity-counted"), join.SAME, "rows", total).select("doc_id", "class_id", "n_links")
+    others = rows.where(~known).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "shared", "united"), members.unionByName(others)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the least doc_id of each group, with all their columns; rows without an id stay."""
-    groups = ngram_jaccard_join(docs, id_col, text_col)
-    keep = groups.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of docs for each group, that of the least doc_id, with all its columns; rows without an id or without words stay."""
+    join = Join(docs, id_col, text_col)
+    gone = join.members().where("head is not null and head.doc <> doc").select(F.col("doc").alias(ROW))
+    return join.rows.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm.exact_dedup import exact_dedup, kept_documents
 from tessella.llm.parity_join import components, keep_one, ngram_jaccard_join
@@ -121,3 +122,66 @@ def test_components_of_long_paths(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 130), (130, 101)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {100: 100, 130: 100, 101: 100}
+
+
+def near(seed, changed, n=60):
+    base = [f"s{seed}_{k}" for k in range(n)]
+    base[-1] = changed
+    return " ".join(base)
+
+
+def test_rows_that_repeat_an_id_link_each_by_its_own_text(spark):
+    rows = [(1, near(1, "a")), (1, near(2, "a")), (2, near(1, "b")), (3, near(2, "b")), (5, near(3, "a")), (5, near(4, "a")), (4, near(3, "b")), (6, near(4, "b")), (None, near(1, "c")), (None, near(1, "a"))]
+    out = sorted(((r.doc_id, r.component_id) for r in ngram_jaccard_join(table(spark, rows)).collect()), key=str)
+    assert out == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (5, 4), (5, 5), (4, 4), (6, 5), (None, None), (None, None)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in keep_one(table(spark, rows, gid=1, head=2)).collect()), key=str)
+    assert kept == sorted([rows[k] for k in (0, 1, 5, 6, 8, 9)], key=str)
+    twice = keep_one(table(spark, [(1, near(1, "a"))] * 3 + [(9, near(1, "b"))])).collect()
+    assert [r.doc_id for r in twice] == [1]
+
+
+def test_linked_pairs_lose_no_link(spark, rows):
+    from tessella.llm.parity_join import linked_pairs
+
+    pairs, members = linked_pairs(table(spark, rows))
+    sets = {i: brute.shingles(t) for i, t in rows}
+    expected = {}
+    for a in set(sets.values()):
+        for b in set(sets.values()):
+            if a != b and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                expected.setdefault(a, set()).add(b)
+    member = {r.doc_id: r for r in members.collect()}
+    assert {i: r.n_links for i, r in member.items()} == {i: len(expected.get(s, ())) for i, s in sets.items()}
+    one = {}
+    for i, r in member.items():
+        assert (r.class_id is None) == (not sets[i])
+        assert one.setdefault(r.class_id, sets[i]) == sets[i]
+    found = pairs.collect()
+    assert len(found) == sum(map(len, expected.values())) // 2 > 100
+    for r in found:
+        a, b = one[r.class_a], one[r.class_b]
+        assert b in expected[a] and (r.shared, r.united) == (len(a & b), len(a | b))
+
+
+def test_keys_of_short_texts_have_content():
+    """Unrelated texts of 8, 12 and 30 words meet nowhere, however many there are."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.llm.parity_join import Sets, _parts
+
+    rng = np.random.default_rng(0)
+    for n in (8, 12, 30):
+        sets = Sets(pa.array([" ".join(map(str, r)) for r in rng.integers(0, 10**9, (20_000, n)).tolist()]))
+        keys, _ = _parts(sets, np.arange(20_000))
+        assert np.unique(keys, return_counts=True)[1].max() <= 2
+
+
+def test_hot_keys_are_joined_like_others(spark):
+    from tessella.llm._common import join_about
+
+    keys = [k % 3 if k % 2 else 0 for k in range(20_000)] + list(range(100, 5000))
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    about = rows.where("k <> 700").groupBy("k").count().withColumn("name", F.concat(F.lit("n"), "k"))
+    out = {r.i: (r.k, r.name) for r in join_about(rows, about, ["k"], "count", len(keys)).collect()}
+    assert out == {i: (k, None if k == 700 else f"n{k}") for i, k in enumerate(keys)}
