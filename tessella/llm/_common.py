@@ -274,19 +274,26 @@ def deltas(a: np.ndarray) -> np.ndarray:
 
 
 class SlotFilter:
-    """A filter of fixed size (2^log2_bits bits, 2 MB as set here) over ids. It never misses an id that is in it;
-    others pass by chance, so that callers use it to move less and not to decide."""
-
-    def __init__(self, ids_df: DataFrame, column: str, log2_bits: int = 24):
-        self.bits = 1 << log2_bits
-        slot = F.pmod(F.xxhash64(column), F.lit(self.bits))
-        known = ids_df.where(F.col(column).isNotNull()).select(slot.alias("slot"))
-        maps = known.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bitmap"))
+    """A filter over keys, as a bitmap of 2^LEAST_LOG2 to 2^MOST_LOG2 bits (at most 64 MB), sized by the number of keys. It never misses
+    a key that is in it; others pass by chance, so that callers use it to move less and not to decide."""
+
+    LEAST_LOG2, MOST_LOG2 = 20, 29
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        known = stored(keys.where(F.greatest(*[F.col(c).isNotNull() for c in columns]) if len(columns) > 1 else F.col(columns[0]).isNotNull()).select(F.xxhash64(*columns).alias("hash")), "slot-keys")
+        self.columns = columns
+        self.bits = 1 << min(self.MOST_LOG2, max(self.LEAST_LOG2, (16 * known.count()).bit_length()))
+        slots = known.select(F.pmod("hash", F.lit(self.bits)).alias("slot"))
+        maps = slots.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bitmap"))
         self.table = stored(maps, "slots")  # 4 KB for each of at most bits / 32768 buckets
 
-    def keep(self, df: DataFrame, column: str) -> DataFrame:
-        slot = F.pmod(F.xxhash64(column), F.lit(self.bits))
+    def mark(self, df: DataFrame, name: str, *columns: str) -> DataFrame:
+        """df with a column that is true where the key may be in the filter, else false."""
+        slot = F.pmod(F.xxhash64(*(columns or self.columns)), F.lit(self.bits))
         bit = F.bitmap_bit_position(slot)
         byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         hit = F.pmod(F.floor(byte / F.pow(F.lit(2.0), F.pmod(bit, F.lit(8)))), F.lit(2)) == 1
-        return df.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(self.table), "_bucket").where(hit).drop("_bucket", "_bitmap")
+        return df.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(self.table), "_bucket", "left").withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_bitmap")
+
+    def keep(self, df: DataFrame, *columns: str) -> DataFrame:
+        return self.mark(df, "_may_be", *columns).where("_may_be").drop("_may_be")

@@ -1,9 +1,8 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
-Each round keeps only the groups that still hold two rows. What is left of a round is sent to the executors
-as a set of slots (keys modulo a fixed number), so its size is bounded whatever the corpus; a row that
-shares a slot by chance is refined once more than needed and still grouped by its whole key. Texts never
-cross the network: only lengths and hashes do.
+Each round keeps only the groups that still hold two rows. What is left of a round goes to the executors as a
+bitmap, sized by the number of such groups up to a fixed bound; a row that meets a bit by chance is refined once
+more than needed and still grouped by its whole key. Texts never cross the network: only lengths and hashes do.
 """
 
 from __future__ import annotations
@@ -11,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import ROW, SlotFilter, join_about, keyed, stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Slots that the survivors of a round are folded to: at most this many longs are broadcast.
-SLOTS = 1 << 18
 PREFIX_CHARS = 128
 
 
@@ -24,18 +21,9 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
-def _survivors(rows: DataFrame, keys: list[str]) -> DataFrame:
-    again = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where("_rows > 1")
-    return again.select(_slot(*keys).alias("_slot")).distinct()
-
-
-def _slot(*keys: str) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS))
-
-
-def _marked(rows: DataFrame, slots: DataFrame, keys: list[str], mark: str) -> DataFrame:
-    hit = F.broadcast(slots.select(F.col("_slot"), F.lit(True).alias(mark)))
-    return rows.withColumn("_slot", _slot(*keys)).join(hit, "_slot", "left").drop("_slot").withColumn(mark, F.coalesce(mark, F.lit(False)))
+def _survivors(rows: DataFrame, *keys: str) -> SlotFilter:
+    """Keys that two rows share at least."""
+    return SlotFilter(rows.groupBy(*keys).agg(F.count("*").alias("_rows")).where("_rows > 1"), *keys)
 
 
 def exact_dedup(docs: DataFrame, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,16 +34,21 @@ def exact_dedup(docs: DataFrame, digest: bool = False, id_col: str = "doc_id", t
     stays. Rows that repeat a doc_id and its text count in group_size and share the flag. A null doc_id
     stays only if its whole group has none. Other columns are ignored; no rows give no rows.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    return _grouped(docs, digest, id_col, text_col, [])
+
+
+def _grouped(docs: DataFrame, digest: bool, id_col: str, text_col: str, rows: list[str]) -> DataFrame:
+    base = docs.select(*rows, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     sized = base.withColumn("_bytes", F.octet_length(F.coalesce("_text", F.lit(""))))
-    by_length = stored(_survivors(sized, ["_bytes"]), "dedup-lengths")
-    prefixed = _marked(sized, by_length, ["_bytes"], "_same_length").withColumn("_prefix", F.when(F.col("_same_length"), F.xxhash64(normalised(F.substring("_text", 1, PREFIX_CHARS)))))
-    keys = ["_bytes", "_prefix"]
-    by_prefix = stored(_survivors(prefixed.where("_same_length"), keys), "dedup-prefixes")
+    prefix = F.when(F.col("_same_length"), F.xxhash64(normalised(F.substring("_text", 1, PREFIX_CHARS))))
+    prefixed = _survivors(sized, "_bytes").mark(sized, "_same_length").withColumn("_prefix", prefix)
+    refined = _survivors(prefixed.where("_same_length"), "_bytes", "_prefix").mark(prefixed, "_same_prefix")
     full = F.when(F.col("_same_length") & F.col("_same_prefix"), F.sha2(normalised(F.col("_text")), 256))
-    hashed = stored(_marked(prefixed, by_prefix, keys, "_same_prefix").select("doc_id", "_bytes", full.alias("_full"), *[F.sha2(normalised(F.col("_text")), 256).alias("text_sha256")] * digest), "dedup-hashes")
+    hashed = stored(refined.select(*rows, "doc_id", "_bytes", full.alias("_full"), *[F.sha2(normalised(F.col("_text")), 256).alias("text_sha256")] * digest), "dedup-hashes")
     groups = hashed.where("_full is not null").groupBy("_bytes", "_full").agg(F.max("doc_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
-    return hashed.join(groups, ["_bytes", "_full"], "left").select(
+    groups = stored(groups.withColumn("_rows", F.col("_size")), "dedup-groups")
+    return join_about(hashed, groups, ["_bytes", "_full"], "_rows", hashed.count()).select(
+        *rows,
         "doc_id",
         F.when(F.col("_size").isNull(), F.col("doc_id")).otherwise(F.col("_keep")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
@@ -65,6 +58,7 @@ def exact_dedup(docs: DataFrame, digest: bool = False, id_col: str = "doc_id", t
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text stays, with all their columns."""
-    keep = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of docs whose text stays, with all their columns. Each row is judged by itself, also where its id is null or repeated."""
+    rows = keyed(docs)
+    gone = _grouped(rows, False, id_col, text_col, [ROW]).where("not kept").select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -185,3 +185,8 @@ def test_hot_keys_are_joined_like_others(spark):
     about = rows.where("k <> 700").groupBy("k").count().withColumn("name", F.concat(F.lit("n"), "k"))
     out = {r.i: (r.k, r.name) for r in join_about(rows, about, ["k"], "count", len(keys)).collect()}
     assert out == {i: (k, None if k == 700 else f"n{k}") for i, k in enumerate(keys)}
+
+
+def test_kept_documents_judge_each_row(spark):
+    rows = [(7, "a"), (7, "b"), (9, "B"), (None, "c"), (None, "a"), (3, "d"), (3, "d")]
+    assert sorted(((r.doc_id, r.text) for r in kept_documents(table(spark, rows)).collect()), key=str) == sorted([(7, "a"), (9, "B"), (None, "c"), (3, "d"), (3, "d")], key=str)
