@@ -8,13 +8,39 @@ conversation is ever gathered into one row or task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Turns whose offsets are summed in one window; blocks of turns are summed first.
 BLOCK_TURNS = 256
 SYSTEM = "system"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: Conversations with more than one message in so many are hot: no more than this many, dealt over SALTS tasks each.
+HOT, SALTS = 4096, 64
+
+
+def _unmarked(text: Column) -> Column:
+    """Text whose marks are broken by a space, so that it can neither end a turn nor begin one."""
+    for mark in (OPEN, CLOSE.strip()):
+        text = F.replace(text, F.lit(mark), F.lit("< " + mark[1:]))
+    return text
+
+
+def _one_line(name: Column) -> Column:
+    """A name as it may stand in a turn's first line: without marks, and a run of control characters is one space."""
+    return _unmarked(F.regexp_replace(name, r"[\x00-\x1F\x7F]+", " "))
+
+
+def _salted(said: DataFrame, people: DataFrame) -> DataFrame:
+    """Every message with every participant of its conversation; hot conversations are dealt over several tasks."""
+    total = said.count()
+    counts = said.groupBy("_conv").count().where(F.col("count") > total // HOT).select(F.col("_conv").alias("_key"), F.lit(True).alias("_is_hot"))
+    hot = F.broadcast(counts.where("_key is not null"))  # at most HOT rows
+    salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64("_turn", "_content"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.explode(F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    left = said.join(hot, F.col("_conv") == F.col("_key"), "left").withColumn("_salt", salt).drop("_key", "_is_hot")
+    right = people.join(hot, F.col("_of") == F.col("_key"), "left").select("_of", "_view", salts.alias("_with"))
+    return left.join(right, F.col("_conv").eqNullSafe(F.col("_of")) & (F.col("_salt") == F.col("_with"))).drop("_salt", "_with")
 
 
 def rotate_perspectives(conversations: DataFrame, speaker_col: str = "role") -> DataFrame:
@@ -24,17 +50,18 @@ def rotate_perspectives(conversations: DataFrame, speaker_col: str = "role") ->
     Participants are all speakers but the system, whose messages keep their role. A null speaker takes part as "unknown", a null
     text is empty, a null turn comes first, messages of one turn go by speaker and text, repeated messages stay; a null
     conv_id is a conversation of its own. A conversation of system messages only has no perspective. A mark inside a
-    message is broken by a space, so that it cannot end a turn. Other columns are ignored; no rows give no rows.
+    message or a name is broken by a space, and control characters of a name are spaces in the turn's first line, so that neither can
+    end a turn or begin one; `name` is the speaker as given. Texts of any length stay whole. Other columns are ignored; no rows give no rows.
     """
-    content = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_start|>"), F.lit("< |im_start|>")), F.lit("<|im_end|>"), F.lit("< |im_end|>"))
+    content = _unmarked(F.coalesce("text", F.lit("")))
     said = conversations.select(
         F.col("conv_id").alias("_conv"), F.col("turn").cast("long").alias("_turn"), F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("_speaker"), content.alias("_content")
     ).withColumn("_block", F.floor(F.col("_turn") / BLOCK_TURNS))
     people = said.where(F.col("_speaker") != SYSTEM).select(F.col("_conv").alias("_of"), F.col("_speaker").alias("_view")).distinct()
-    seen = said.join(people, F.col("_conv").eqNullSafe(F.col("_of")))
+    seen = _salted(said, people)
     role = F.when(F.col("_speaker") == SYSTEM, F.lit(SYSTEM)).when(F.col("_speaker") == F.col("_view"), F.lit("assistant")).otherwise(F.lit("user"))
     name = F.when(role == "user", F.col("_speaker"))
-    head = F.concat(F.lit(OPEN), role, F.when(name.isNotNull(), F.concat(F.lit(" name="), name)).otherwise(F.lit("")), F.lit("\n"))
+    head = F.concat(F.lit(OPEN), role, F.when(name.isNotNull(), F.concat(F.lit(" name="), _one_line(name))).otherwise(F.lit("")), F.lit("\n"))
     seen = seen.withColumn("_head", F.length(head)).withColumn("_segment", F.concat(head, F.col("_content"), F.lit(CLOSE))).withColumn("_role", role).withColumn("_name", name)
     seen = seen.withColumn("_length", F.length("_segment"))
     view = ["_conv", "_view"]
@@ -61,13 +88,13 @@ def rotate_perspectives(conversations: DataFrame, speaker_col: str = "role") ->
     )
 
 
-SQL = """
+SQL = r"""
 WITH s AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS speaker,
   replace(replace(coalesce(text, ''), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') AS content FROM conversations),
 p AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM s WHERE speaker <> 'system'),
 r AS (SELECT s.*, perspective, CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
   FROM s JOIN p ON s.conv_id IS NOT DISTINCT FROM p.c),
-h AS (SELECT *, CASE WHEN role = 'user' THEN speaker END AS name, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r),
+h AS (SELECT *, CASE WHEN role = 'user' THEN speaker END AS name, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || replace(replace(regexp_replace(speaker, '[\x00-\x1F\x7F]+', ' ', 'g'), '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') ELSE '' END || chr(10) AS head FROM r),
 g AS (SELECT *, head || content || '<|im_end|>' || chr(10) AS segment FROM h),
 o AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, content
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS "end" FROM g)
