@@ -2,9 +2,14 @@
 
 All pages of a host are merged into one tree of styles: a style node is the chain of an element's tags and
 classes. A node's presentation importance is the entropy of its children's layout over the pages, its content
-importance that of its texts; both are near zero where pages repeat one template. Branches of low importance
-are cut from every page. Elements that HTML itself or their class declares to be menus, notices, adverts,
-forms or comments have importance zero, those that it declares to be the article have one.
+importance that of its texts; both are near zero where pages repeat one template. A container has the
+importance of what is most important below it. Branches of low importance are cut from every page.
+
+What a host of few pages cannot show is taken from what HTML itself declares (nav, footer, aside, form, article, main) and from
+whole class tokens that name a template part ("sidebar", "site-footer", but not "has-sidebar" or "article-header"). A class
+never takes an article with it, and inside an article only containers go by their class.
+
+Pages are parsed once: the stored table has each page's blocks and what its tree holds.
 """
 
 from __future__ import annotations
@@ -13,13 +18,15 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mapped, stored
+from ._common import ROW, SlotFilter, join_about, keyed, mapped, steps, stored
 
 #: Importance below which a branch goes, and the pages of a host that must show it.
 LEAST_IMPORTANCE = 0.3
@@ -33,12 +40,22 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 ENDS_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SAME_KIND = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 WALLS = frozenset("table ul ol dl article section main body html td th".split())
-#: Elements and class, id or role words that say what a branch is.
+#: Elements that say what a branch is.
 NO_TEXT = frozenset("head nav footer aside form button select textarea input label fieldset dialog menu search datalist option".split())
+#: Words that say so as a whole class, id or role token, alone or joined with one another and with words of place.
 NO_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager header masthead footer contentinfo sidebar aside complementary widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus respond reply replies search searchbox form toolbar skip copyright".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer contentinfo sidebar aside complementary widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login recommendations searchbox toolbar copyright skip".split()
 )
+#: The same, where they stand before an article; its own header and the words it is about stay.
+TOP_WORDS = frozenset("banner header masthead form dialog search share".split())
+#: Reader comments, also where each is an article.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+#: Words that say so in pairs only, as in "social-links".
+WEAK_WORDS = frozenset("social share sharing follow links icons buttons media related recommended similar posts articles stories tags more".split())
+PLACE_WORDS = frozenset("site page top bottom left right main primary secondary global container wrapper wrap area box block list bar section inner outer item items panel slot unit body text content group 1 2 3 4".split())
 ARTICLE = frozenset(["article", "main"])
+#: Elements of an article that no class takes from it, and those that no low importance of their own does.
+TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre tbody tr td th figure figcaption".split())
 KEPT_INSIDE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol table tbody tr td th dl dt dd figure figcaption".split())
 
 _TOKEN = re.compile(
@@ -47,14 +64,28 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "style", "dropped", "content", "children")
+    """dropped: by what it or an element around it declares; by_class: only by classes, which an article inside is free of."""
+
+    __slots__ = ("tag", "style", "dropped", "by_class", "content", "children")
+
+    def __init__(self, tag: str, style: str, dropped: bool, by_class: bool, content: bool):
+        self.tag, self.style, self.dropped, self.by_class, self.content, self.children = tag, style, dropped, by_class, content, []
 
-    def __init__(self, tag: str, style: str, dropped: bool, content: bool):
-        self.tag, self.style, self.dropped, self.content, self.children = tag, style, dropped, content, []
+
+@lru_cache(1 << 16)
+def declares(token: str, inside: bool) -> str:
+    """"comment" or "template" where a whole class token names such a part, else "". `inside` an article some words say nothing."""
+    parts = [x.lower() for x in _PART.split(token) if x]
+    known = NO_WORDS if inside else NO_WORDS | TOP_WORDS
+    sure = [x for x in parts if x in known or x in COMMENT_WORDS]
+    weak = [x for x in parts if x in WEAK_WORDS]
+    if not all(x in known or x in COMMENT_WORDS or x in WEAK_WORDS or x in PLACE_WORDS for x in parts) or not (sure or len(weak) > 1):
+        return ""
+    return "comment" if any(x in COMMENT_WORDS for x in parts) else "template"
 
 
 def host(url: str | None) -> str:
@@ -64,19 +95,30 @@ def host(url: str | None) -> str:
         return ""
 
 
-def _element(tag: str, attrs: str, up: Element) -> Element:
-    names, hidden, words = "", False, set()
+def _element(tag: str, attrs: str, up: Element, seen_article: bool) -> Element:
+    classes, hidden, said, role = "", False, set(), ""
     if attrs.strip():
         for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id", "role"):
-                words.update(_WORD.findall(value))
-                names += "." + ".".join(value.replace("/", ".").split()) if key == "class" else ""  # "/" is between styles
+                tokens = value.split()
+                said.update(declares(t, up.content) for t in tokens)
+                if key == "class":
+                    classes = "".join("." + t.lower().replace("/", ".") for t in tokens)  # "/" is between styles
+                role = value.lower() if key == "role" else role
             else:
-                hidden |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
-    article = tag in ARTICLE or "main" in words and "role" in attrs
-    dropped = up.dropped or hidden or tag in NO_TEXT or (tag == "header" and not up.content) or (tag not in ("body", "html") and not words.isdisjoint(NO_WORDS) and tag not in ARTICLE)
-    return Element(tag, f"{up.style}/{tag}{names}" if tag in BLOCK or names else up.style, dropped, up.content or (article and not dropped))
+                hidden |= key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and "display:none" in value.lower().replace(" ", ""))
+    article = tag in ARTICLE or role in ("main", "article")
+    by_tag = hidden or tag in NO_TEXT or (tag == "header" and not up.content)
+    if tag in ("html", "body") or up.content and tag in TEXT_ELEMENTS:
+        by_class = False
+    else:
+        by_class = "comment" in said or "template" in said and not article
+    free = article and up.dropped and up.by_class and not (by_tag or by_class or seen_article)  # a class around the first article does not take it
+    dropped = not free and (up.dropped or by_tag or by_class)
+    only_class = dropped and not by_tag and (up.by_class if up.dropped else by_class)
+    style = f"{up.style}/{tag}{classes}" if tag in BLOCK or classes else up.style
+    return Element(tag, style, dropped, only_class, not dropped and (up.content or article))
 
 
 class Page:
@@ -85,7 +127,8 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, bool, bool]] = []
         self.elements: list[Element] = []
-        stack = [Element("", "", False, False)]
+        stack = [Element("", "", False, False, False)]
+        seen_article = False
         text: list[str] = []
 
         def block() -> None:
@@ -135,7 +178,8 @@ class Page:
                 close(("p",), WALLS)
             if tag in SAME_KIND:
                 close(SAME_KIND[tag], frozenset(("table", "ul", "ol", "dl")) if tag != "td" and tag != "th" else frozenset(("table", "tr")))
-            e = _element(tag, m["attrs"], stack[-1])
+            e = _element(tag, m["attrs"], stack[-1], seen_article)
+            seen_article |= e.content
             if tag in BLOCK or e.dropped != stack[-1].dropped:
                 block()
             if e.style != stack[-1].style:
@@ -147,68 +191,64 @@ class Page:
             text.append(source[at:])
         block()
 
-    def text(self, low: frozenset[str] = frozenset()) -> str:
-        """The main text: blocks that are neither declared nor measured to be template; only those of the article
-        where the page has one. Where all blocks measure low, pages are copies and nothing tells template from text: all stay."""
+    def main(self) -> list[tuple[str, str, bool, bool]]:
+        """Blocks that nothing declares to be template; only those of the article where the page has one."""
         whole = [b for b in self.blocks if not b[2]]
-        main = [b for b in whole if b[3]] or whole
-        return "\n".join(b[1] for b in [b for b in main if not _under(b[0], low, KEPT_INSIDE if b[3] else frozenset())] or main)
+        return [b for b in whole if b[3]] or whole
 
-
-def _under(style: str, low: frozenset[str], but: frozenset[str] = frozenset()) -> bool:
-    """Whether a node on the way to this style is of low importance; `but` names elements that don't count."""
-    if not low:
-        return False
-    at = len(style)
-    while at > 0:
-        cut = style.rfind("/", 0, at)
-        tag = style[cut + 1 : at].split(".", 1)[0]
-        if style[:at] in low and tag not in but and tag not in ARTICLE and tag not in ("html", "body"):
-            return True
-        at = cut
-    return False
+    def text(self) -> str:
+        """The text as far as one page shows it, without its site's tree."""
+        return "\n".join(b[1] for b in self.main())
 
 
 # ---------------------------------------------------------------- the tree of a host
 
 
 _NODE = pa.struct([("style", pa.string()), ("kind", pa.string()), ("value", pa.int64()), ("n", pa.int64())])
+_BLOCK = pa.struct([("style", pa.int64()), ("inside", pa.bool_()), ("text", pa.string())])
+_PARSED = f"{ROW} long, page_id long, url string, host string, page long, nodes array<struct<style:string,kind:string,value:long,n:long>>, blocks array<struct<style:long,inside:boolean,text:string>>"
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each different page of the batch: its host, a hash of what its tree holds, and its style nodes with layout of
-    children and texts, counted."""
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page with its host, a hash of what its tree holds, its style nodes with layout of children and texts, counted, and the
+    blocks of its main part."""
     for batch in batches:
-        pages: dict[tuple[str, int], list[dict]] = {}
-        for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            page, site = Page(source or ""), host(url)
-            counts: Counter[tuple[str, str, int]] = Counter()
-            shown = [b for b in page.blocks if not b[2]]  # what is declared has no say in the importance of what holds it
-            for e in page.elements:
-                if not e.dropped:
-                    counts[e.style, "layout", hash_of("".join(e.children))] += 1
-            for style, text, _, _ in shown:
-                counts[style, "content", hash_of(text)] += 1
-            for style in {b[0] for b in shown}:
-                counts[style, "page", 0] += 1
-            if counts:
+        for step in steps(batch, "html"):
+            rows = []
+            for url, source in zip(step.column("url").to_pylist(), step.column("html").to_pylist()):
+                page = Page(source or "")
+                counts: Counter[tuple[str, str, int]] = Counter()
+                shown = [b for b in page.blocks if not b[2]]  # what is declared has no say in the importance of what holds it
+                for e in page.elements:
+                    if not e.dropped:
+                        counts[e.style, "layout", hash_of("".join(e.children))] += 1
+                for style, text, _, _ in shown:
+                    counts[style, "content", hash_of(text)] += 1
+                for style in {b[0] for b in shown}:
+                    counts[style, "page", 0] += 1
                 nodes = sorted(counts.items())
-                pages.setdefault((site, hash_of(repr(nodes))), [{"style": s, "kind": k, "value": v, "n": n} for (s, k, v), n in nodes])
-        if pages:
-            hosts, hashes = zip(*pages)
-            yield pa.record_batch([pa.array(hosts), pa.array(hashes, pa.int64()), pa.array(list(pages.values()), pa.list_(_NODE))], ["host", "page", "nodes"])
+                blocks = [{"style": hash_of(b[0]), "inside": b[3], "text": b[1]} for b in page.main()]
+                rows.append((host(url), hash_of(repr(nodes)), [{"style": s, "kind": k, "value": v, "n": n} for (s, k, v), n in nodes], blocks))
+            site, page, nodes, blocks = zip(*rows)
+            made = [pa.array(site), pa.array(page, pa.int64()), pa.array(nodes, pa.list_(_NODE)), pa.array(blocks, pa.list_(_BLOCK))]
+            yield pa.record_batch([step.column(ROW), step.column("page_id"), step.column("url"), *made], [ROW, "page_id", "url", "host", "page", "nodes", "blocks"])
 
 
 def hash_of(text: str) -> int:
-    import xxhash
+    """As xxhash64 of a column has it."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
+    return h - (h >> 63 << 64)
+
 
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """The stored table of parsed pages that the tree is made of and the texts are cut from."""
+    base = keyed(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
+    return stored(mapped(base.select(ROW, "page_id", "url", "html"), _parse, _PARSED), "style-pages", compression="zstd")
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
+def style_tree(parsed: DataFrame) -> DataFrame:
     """host, style, pages, layout, content: the entropies (0 to 1) of each style node over each host's different pages."""
-    shown = mapped(pages.select("url", "html"), _nodes, "host string, page long, nodes array<struct<style:string,kind:string,value:long,n:long>>")
-    different = shown.groupBy("host", "page").agg(F.first("nodes").alias("nodes"))  # a page counts once, however many copies a host has
+    different = parsed.where(F.size("nodes") > 0).groupBy("host", "page").agg(F.first("nodes").alias("nodes"))  # a page counts once, however many copies a host has
     seen = different.select("host", F.explode("nodes").alias("_n")).select("host", "_n.*").groupBy("host", "style", "kind", "value").agg(F.sum("n").alias("n"))
     n = F.sum("n")
     entropy = F.when(n > 1, (F.log(n) - F.sum(F.col("n") * F.log("n")) / n) / F.log(n)).otherwise(1.0)
@@ -217,30 +257,32 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return by_kind.groupBy("host", "style").agg(F.coalesce(value("page", "n"), value("layout", "n"), F.lit(0)).alias("pages"), value("layout", "h").alias("layout"), value("content", "h").alias("content"))
 
 
+def _branches() -> Column:
+    """The nodes that hold a node, from the second level on; the last is its own."""
+    parts = F.split("style", "/")
+    return F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
 def low_branches(tree: DataFrame) -> DataFrame:
-    """host, low: styles of low composite importance. A leaf has its content's entropy; an inner node its
+    """host, style of low composite importance. A leaf has its content's entropy; an inner node its
     layout's and, by BELOW, the mean of what stands right below it, or what is more important anywhere below it."""
     deep = tree.withColumn("parent", F.regexp_extract("style", "^(.*)/[^/]*$", 1))
     below = deep.groupBy("host", F.col("parent").alias("style")).agg(F.avg(F.coalesce("content", "layout")).alias("below"), F.count("*").alias("children"))
     weight = F.pow(F.lit(BELOW), F.col("children"))
     own = F.coalesce("content", "layout")
     node = tree.join(below, ["host", "style"], "left").withColumn("importance", F.when(F.col("children").isNull(), own).otherwise(F.greatest(own, (1 - weight) * F.coalesce("layout", F.lit(0.0)) + weight * F.col("below"))))
-    parts = F.split("style", "/")
-    branches = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))  # that hold the node; the last is its own
-    held = node.select("host", "pages", "importance", F.col("style").alias("_node"), F.explode(branches).alias("style"))
+    held = node.select("host", "pages", "importance", F.col("style").alias("_node"), F.explode(_branches()).alias("style"))
     lifted = held.groupBy("host", "style").agg(F.max("importance").alias("importance"), F.max(F.when(F.col("_node") == F.col("style"), F.col("pages"))).alias("pages"))
-    return lifted.where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES)).groupBy("host").agg(F.collect_set("style").alias("low"))
+    return lifted.where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES)).select("host", "style")
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = [Page(source or "").text(frozenset(low or ())) for source, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
-        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-
-def _with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.record_batch([batch.column("page_id"), batch.column("url"), batch.column("html"), pa.array([host(u) for u in batch.column("url").to_pylist()], pa.string())], ["page_id", "url", "html", "host"])
+def cut_styles(tree: DataFrame, low: DataFrame) -> DataFrame:
+    """host, style (hashed), inside: nodes of texts under a branch of low importance, and whether that also holds inside an article, where
+    headings, paragraphs, lists, tables and figures don't go by themselves."""
+    tag = F.regexp_extract("style", r"([^/.]*)(?:\.[^/]*)?$", 1)
+    taken = low.where(~tag.isin(*ARTICLE, "html", "body")).select("host", "style", (~tag.isin(*KEPT_INSIDE)).alias("inside"))
+    nodes = tree.where("content is not null").select("host", F.col("style").alias("_node"), F.explode(_branches()).alias("style"))
+    return nodes.join(taken, ["host", "style"]).groupBy("host", F.xxhash64("_node").alias("style")).agg(F.max("inside").alias("inside"))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -248,9 +290,23 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     White space inside a block becomes one space, blocks are joined by newlines. A null or empty html, or one without
     main text, gives the empty text. Pages whose url is null or has no host form a site of their own. Rows that
-    repeat a page get a row each. Other columns are ignored; no rows give no rows.
+    repeat a page, its id or its url get a row each, pages of any length are parsed whole. Where all blocks of a page measure low,
+    pages are copies and nothing tells template from text: all stay. Other columns are ignored; no rows give no rows.
     """
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    low = stored(low_branches(stored(style_tree(base), "style-tree")), "style-low")
-    named = mapped(base, _with_host, "page_id long, url string, html string, host string")
-    return mapped(named.join(low, "host", "left").select("page_id", "url", "html", "low"), _extract, "page_id long, url string, text string, n_chars long")
+    parsed = parsed_pages(pages)
+    tree = stored(style_tree(parsed), "style-tree")
+    cut = cut_styles(tree, low_branches(tree))
+    # Only places of pages and hashes of styles move, until each page has the few of its styles that are cut.
+    uses = parsed.select(ROW, "host", F.explode(F.array_distinct("blocks.style")).alias("style"))
+    counted = stored(cut.join(uses.groupBy("host", "style").count(), ["host", "style"]), "style-cut")
+    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    found = join_about(uses, counted, ["host", "style"], "count", total).where("inside is not null")
+    styles = [F.collect_list(F.when(F.col("inside"), F.col("style"))).alias("everywhere"), F.collect_list("style").alias("outside")]
+    by_page = stored(found.groupBy(ROW).agg(*styles), "style-cut-pages")
+    rows = SlotFilter(by_page, ROW).mark(parsed.select(ROW, "page_id", "url", "blocks"), "may_be_cut")
+    none = F.lit(None).cast("array<long>")
+    named = rows.where("may_be_cut").join(by_page, ROW, "left").unionByName(rows.where("not may_be_cut").withColumns({"everywhere": none, "outside": none}))  # others don't move
+    kept = F.filter("blocks", lambda b: ~F.array_contains(F.when(b["inside"], F.col("everywhere")).otherwise(F.col("outside")), b["style"]))
+    chosen = F.when(F.col("outside").isNull() | (F.size(kept) == 0), F.col("blocks")).otherwise(kept)
+    text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
+    return named.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

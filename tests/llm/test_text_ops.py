@@ -402,3 +402,106 @@ def test_perspectives_of_a_hot_conversation(spark):
     assert n == {(False, "p0"): 6000, (False, "p1"): 6000, (False, "p2"): 6000, (False, "solo"): 1, (True, "none"): 2}
     view = sorted((r for r in out.where("perspective = 'p1'").collect()), key=lambda r: r.turn)
     assert [r.start for r in view] == [0, *[r.end for r in view[:-1]]]
+
+
+def article(attrs, inside="", around=""):
+    return f"<html><body class='nav-open has-sidebar'>{around}<div {attrs}><article><h1>Title</h1><p>Text.</p>{inside}</article></div></body></html>"
+
+
+@pytest.mark.parametrize("attrs", ["class='content no-sidebar'", "class=has-sidebar", "class=page-with-header", "id=header-less", "class='sidebar'", "class='menu page'", ""])
+def test_a_class_takes_no_article_with_it(attrs):
+    assert Page(article(attrs)).text() == "Title\nText."
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("<section class='social history'><p>Social history.</p></section>", "\nSocial history."),
+        ("<p class=alert>Warning.</p>", "\nWarning."),
+        ("<div id=modal-logic>Modal.</div>", "\nModal."),
+        ("<div class=article-header><h2>Second</h2></div>", "\nSecond"),
+        ("<header class=header><h2>Second</h2></header>", "\nSecond"),
+        ("<div class=social-links>Tell friends</div><div class='ad-slot'>Buy</div><div class=newsletterSignup>Mail us</div><ul class=menu><li>a</ul>", ""),
+        ("<section id=comments><article class=comment-body><p>First!</p></article></section>", ""),
+        ("<nav>x</nav><aside>y</aside><form>z</form>", ""),
+    ],
+)
+def test_classes_inside_an_article(inside, text):
+    assert Page(article("class=main", inside)).text() == "Title\nText." + text
+
+
+def test_pages_without_an_article():
+    page = "<body><div class=site-header>Site</div><div class='wrap no-sidebar'><h1>Title</h1><p>Text.</p></div><div class=sidebar><p>Links</p></div><div class=comment-list><p>First!</p></div>"
+    assert Page(page).text() == "Title\nText."
+    assert Page("<div class=comments><article><p>First!</p></article></div><p>Text.</p>").text() == "First!"  # an article before any other
+    assert Page("<article><p>Text.</p></article><div class=comments><article><p>First!</p></article></div>").text() == "Text."
+
+
+def tree_by_hand(pages):
+    """Importance of every style of each host, from the definition: different pages, entropies by value counts, containers from below."""
+    import math
+    from collections import Counter, defaultdict
+
+    from tessella.llm.site_style import BELOW, host
+
+    seen, values = set(), defaultdict(lambda: defaultdict(list))
+    shown = defaultdict(Counter)
+    for url, html in pages:
+        page = Page(html)
+        blocks = [(b[0], b[1]) for b in page.blocks if not b[2]]
+        layouts = [(e.style, "".join(e.children)) for e in page.elements if not e.dropped]
+        mark = (host(url), tuple(sorted(blocks)), tuple(sorted(layouts)))
+        if mark in seen:
+            continue
+        seen.add(mark)
+        for style, text in blocks:
+            values[host(url)][style, "content"].append(text)
+        for style, layout in layouts:
+            values[host(url)][style, "layout"].append(layout)
+        shown[host(url)].update({b[0] for b in blocks})
+
+    def entropy(xs):
+        return -sum(c / len(xs) * math.log(c / len(xs)) for c in Counter(xs).values()) / math.log(len(xs)) if len(xs) > 1 else 1.0
+
+    low = {}
+    for site, found in values.items():
+        h = {k: entropy(v) for k, v in found.items()}
+        styles = {k[0] for k in h}
+        own = {s: h.get((s, "content"), h.get((s, "layout"))) for s in styles}
+        first = {}
+        for s in styles:
+            below = [own[c] for c in styles if c.rsplit("/", 1)[0] == s and c != s and "/" in c]
+            g = BELOW ** len(below)
+            first[s] = max(own[s], (1 - g) * h.get((s, "layout"), 0) + g * sum(below) / len(below)) if below else own[s]
+        n = {s: shown[site][s] or len(found.get((s, "layout"), ())) for s in styles}
+        low[site] = {s for s in styles if max(v for c, v in first.items() if c == s or c.startswith(s + "/")) < 0.3 and n[s] >= 4 and s}
+    return low
+
+
+def test_style_tree_equals_its_definition(spark):
+    from tessella.llm.site_style import low_branches, parsed_pages, style_tree
+
+    rng = np.random.default_rng(7)
+    word = lambda n: " ".join(f"w{rng.integers(300)}" for _ in range(n))
+    pages = []
+    for k in range(90):
+        crumbs = "".join(f"<li>{x}</li>" for x in ("Home", "News", "Sport")[: 1 + k % 3])
+        text = "".join(f"<p>{word(8)}</p>" for _ in range(1 + k % 4))
+        pages.append((f"http://h{k % 2}.example/{k}", f"<body><div class=top><b>Our site</b><ul class=crumbs>{crumbs}</ul></div><div class=mid><div class=in>{text}</div><div class=plug><p>Get our app</p></div></div><div class=end>Bye</div>"))
+    pages += pages[:20] + [("http://few.example/", "<p>one</p>"), (None, None)]
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    got = {}
+    for r in low_branches(style_tree(parsed_pages(df))).collect():
+        got.setdefault(r.host, set()).add(r.style)
+    assert got == {site: s for site, s in tree_by_hand([(u, h or "") for u, h in pages]).items() if s}
+    assert got["h0.example"] >= {"/body/div.top", "/body/div.end", "/body/div.mid/div.plug"}
+    out = {r.page_id: r.text for r in extract_main_text(df).collect()}
+    assert all("Our site" not in t and "app" not in t and "Bye" not in t and t for k, t in out.items() if k < 110)
+    assert out[110] == "one" and out[111] == ""
+
+
+def test_long_and_repeated_pages(spark):
+    long = "<article>" + "<div>" * 50 + "".join(f"<p>{k} {'x' * 500}</p>" for k in range(4000)) + "</article>"
+    rows = [(1, "http://a.example/", long), (1, "http://a.example/", long), (None, None, "<p>a"), (None, None, "<p>b")]
+    out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("style", F.lit(1)).withColumn("blocks", F.lit(2))).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 1), (0, 1), (1, len(Page(long).text())), (1, len(Page(long).text()))]
