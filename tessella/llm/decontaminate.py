@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ WINDOW = 10
 SEGMENT_WORDS = 500_000
 #: Bytes of benchmark text that one search carries; a larger benchmark is searched in several blocks.
 BLOCK_BYTES = 4 << 20
+#: Places that one step of a search compares.
+PAIRS = 1 << 20
 #: Places left free after a document, so that no window reaches the next.
 GAP = 1 << 10
 
@@ -80,29 +83,56 @@ class Segment:
         first = np.concatenate([[0], np.cumsum(df.astype(np.int64))])
         at = np.searchsorted(term, wanted)
         here = (at < len(term)) & (term[np.minimum(at, len(term) - 1)] == wanted) if len(term) else np.zeros(len(wanted), bool)
+        df = df.astype(np.int64)
         self.rows = np.where(here, at, -1)
-        self.df = np.where(here, np.diff(first)[np.minimum(at, max(len(term) - 1, 0))] if len(term) else 0, 0)
+        self.df = np.where(here, df[np.minimum(at, max(len(term) - 1, 0))], 0) if len(term) else np.zeros(len(wanted), np.int64)
         total = np.concatenate([[0], np.cumsum(step.astype(np.int64))])
-        self._first, self._total = first, total
+        self.first = first[self.rows]
+        self.all_places = total[1:] - np.repeat(total[first[:-1]], df)
+        self.size = int(self.base[-1] + self.count[-1] + GAP) if len(self.doc) else 0
 
     def places(self, k: int) -> np.ndarray:
         """Where the k-th wanted term stands, in order."""
-        a, b = self._first[self.rows[k]], self._first[self.rows[k] + 1]
-        return self._total[a + 1 : b + 1] - self._total[a]
-
-    def phrase(self, terms: np.ndarray) -> np.ndarray:
-        """Places where the wanted terms follow one another."""
-        found = None
-        for k in np.argsort(self.df[terms], kind="stable").tolist():
-            shifted = self.places(terms[k]) - k
-            if found is None:
-                found = shifted
-            else:
-                at = np.searchsorted(shifted, found)
-                found = found[(at < len(shifted)) & (shifted[np.minimum(at, len(shifted) - 1)] == found)]
-            if not len(found):
-                break
-        return found
+        return self.all_places[self.first[k] : self.first[k] + self.df[k]]
+
+    def postings(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of several wanted terms, list after list, and which of the terms each belongs to."""
+        n = self.df[terms]
+        own = np.repeat(np.arange(len(terms)), n)
+        return self.all_places[np.arange(len(own)) + np.repeat(self.first[terms] - (np.cumsum(n) - n), n)], own
+
+    def phrases(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of `windows` (wanted terms, -1 behind shorter ones) and places where their terms follow one another.
+
+        All windows whose terms the segment has are taken at once: the list of each one's rarest term, shifted by its offset, is
+        intersected with those of its other terms, the rarer ones first, some PAIRS places at a time.
+        """
+        pad = windows < 0
+        held = np.flatnonzero((pad | (self.df[windows] > 0)).all(axis=1))
+        if not len(held):
+            return
+        windows, pad = windows[held], pad[held]
+        offsets = np.argsort(np.where(pad, np.iinfo(np.int64).max, self.df[windows]), axis=1, kind="stable")
+        rarest = windows[np.arange(len(held)), offsets[:, 0]]
+        used = np.unique(windows[~pad])
+        at, own = self.postings(used)
+        term_at = np.full(self.size + windows.shape[1], -1, np.int64)  # the lists of all used terms, side by side
+        term_at[at] = used[own]
+        upto = np.cumsum(self.df[rarest])
+        a = 0
+        while a < len(held):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PAIRS, "right")))
+            place, own = self.postings(rarest[a:b])
+            row = own + a
+            start = place - offsets[row, 0]
+            row, start = row[start >= 0], start[start >= 0]
+            for k in range(1, windows.shape[1]):
+                offset = offsets[row, k]
+                term = windows[row, offset]
+                same = (term < 0) | (term_at[start + offset] == term)
+                row, start = row[same], start[same]
+            yield held[row], start
+            a = b
 
     def near(self, terms: np.ndarray, reach: int) -> np.ndarray:
         """Places of the rarest term that have every other term of the set at most `reach` words away."""
@@ -128,21 +158,27 @@ class Phrases:
     def __init__(self, items: pa.Table, window: int):
         words = Words(*buffers(items.column("text")), NOT_ALNUM, fold=True)
         self.terms, number = np.unique(words.hashes(), return_inverse=True)
+        names = items.column("item_id").to_pylist()
         owners: dict[tuple[int, ...], set[int]] = {}
-        for k, item in enumerate(items.column("item_id").to_pylist()):
+        self.sets = []
+        for k, item in enumerate(names):
             own = number[words.bound[k] : words.bound[k + 1]].tolist()
             for i in range(max(1, len(own) - window + 1) if own else 0):
                 owners.setdefault(tuple(own[i : i + window]), set()).add(item)
-        self.windows = [np.array(w) for w in owners]
-        self.items = [sorted(x) for x in owners.values()]
-        self.sets = [(np.unique(number[words.bound[k] : words.bound[k + 1]]), item) for k, item in enumerate(items.column("item_id").to_pylist()) if words.count[k]]
+            if own:
+                self.sets.append((np.unique(own), item))
+        self.length = np.array([len(w) for w in owners], np.int64)
+        self.windows = np.full((len(owners), window), -1, np.int64)
+        for k, w in enumerate(owners):
+            self.windows[k, : len(w)] = w
+        self.items = np.array([i for x in owners.values() for i in sorted(x)], np.int64)
+        self.owned = np.concatenate([[0], np.cumsum([len(x) for x in owners.values()])]).astype(np.int64)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[pa.Table]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[int, Iterator[pa.Table]]:
     base = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     n = max(1, -(-text_bytes(base) // BLOCK_BYTES))
-    for k in range(n):
-        yield base.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toArrow()  # BLOCK_BYTES at a time reach the driver
+    return n, (base.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toArrow() for k in range(n))  # BLOCK_BYTES at a time reach the driver
 
 
 #: segment and row, its place there, tell document rows apart; doc_id may be null or repeated.
@@ -153,26 +189,23 @@ def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, reach: int | No
     for batch in batches:
         for name, *row in zip(*(batch.column(c).to_pylist() for c in ("segment", "docs", "terms", "places"))):
             seg = Segment(*row, phrases.terms)
-            size = int(seg.base[-1] + seg.count[-1] + GAP) if len(seg.doc) else 0
-            edge = np.zeros(size + 1, np.int32)
+            edge = np.zeros(seg.size + 1, np.int32)
             pairs: list[np.ndarray] = []
-
-            def note(at: np.ndarray, items: list[int]) -> None:
-                text = np.unique(seg.texts(at))
-                pairs.append(np.stack([np.repeat(text, len(items)), np.tile(np.array(items, np.int64), len(text))], axis=1))
-
             if reach is None:
-                for terms, items in zip(phrases.windows, phrases.items):
-                    if (seg.rows[terms] >= 0).all() and len(at := seg.phrase(terms)):
-                        edge[at] += 1
-                        np.add.at(edge, at + len(terms), -1)
-                        note(at, items)
+                for k, at in seg.phrases(phrases.windows):
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + phrases.length[k], -1)
+                    found = np.unique(np.stack([seg.texts(at), k], axis=1), axis=0)
+                    n = phrases.owned[found[:, 1] + 1] - phrases.owned[found[:, 1]]
+                    item = np.arange(int(n.sum())) + np.repeat(phrases.owned[found[:, 1]] - (np.cumsum(n) - n), n)
+                    pairs.append(np.stack([np.repeat(found[:, 0], n), phrases.items[item]], axis=1))
             else:
                 for terms, item in phrases.sets:
                     if (seg.rows[terms] >= 0).all() and len(at := seg.near(terms, reach)):
                         edge[at] += 1
                         edge[at + 1] -= 1
-                        note(at, [item])
+                        text = np.unique(seg.texts(at))
+                        pairs.append(np.stack([text, np.full(len(text), item)], axis=1))
             hit = np.cumsum(edge[:-1]) > 0
             found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
             cut = np.searchsorted(found[:, 0], np.arange(len(seg.doc) + 1))
@@ -208,13 +241,17 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, reach:
     """Finds in every document of the index: n_hit words, the items, and hit, a bit for each word.
 
     Exact phrases of `window` words of an item (a shorter item is one phrase), or with `reach` proximity: all words
-    of an item within `reach` words of its rarest.
+    of an item within `reach` words of its rarest. Both stay below the gap that the index leaves between documents, else a
+    ValueError is raised.
     """
-    found = [mapped(index, lambda b, p=Phrases(block, window): _search(b, p, reach), _FOUND) for block in _blocks(benchmark, id_col, text_col)]
-    all_ = found[0]
-    for x in found[1:]:
-        all_ = all_.unionByName(x)
-    if len(found) > 1:
+    if max(window, (reach or 0) + 1) > GAP:
+        raise ValueError(f"windows and reach must be below the gap of {GAP} words between documents")
+    scan = lambda block: mapped(index, lambda b, p=Phrases(block, window): _search(b, p, reach), _FOUND)
+    n, blocks = _blocks(benchmark, id_col, text_col)
+    if n == 1:
+        all_ = scan(next(blocks))
+    else:  # the finds of each block are stored, so that one block at a time is on the driver
+        all_ = reduce(DataFrame.unionByName, [stored(scan(block), "finds") for block in blocks])
         all_ = all_.groupBy("segment", "row").applyInArrow(_merged, _FOUND)
     return mapped(all_, _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit binary, items array<long>")
 

@@ -505,3 +505,20 @@ def test_long_and_repeated_pages(spark):
     rows = [(1, "http://a.example/", long), (1, "http://a.example/", long), (None, None, "<p>a"), (None, None, "<p>b")]
     out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("style", F.lit(1)).withColumn("blocks", F.lit(2))).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 1), (0, 1), (1, len(Page(long).text())), (1, len(Page(long).text()))]
+
+
+def test_decontamination_of_common_words_in_steps(spark, monkeypatch):
+    """Windows of words that stand everywhere, some within others, in as many steps as there are places."""
+    import tessella.llm.decontaminate as module
+
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join("abc"[k] for k in rng.integers(0, 3, n))
+    docs = [(k, text(int(rng.integers(0, 120)))) for k in range(40)] + [(99, "a " * 3000)]
+    items = [(k, text(n)) for k, n in enumerate([1, 2, 3, 4, 6, 8, 12, 12])] + [(50, "a a a a")]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    for pairs in (1, 1000, 1 << 20):
+        monkeypatch.setattr(module, "PAIRS", pairs)
+        got = {r[0]: tuple(r)[1:6] for r in decontaminate(d.coalesce(1), b, window=5).collect()}
+        assert got == brute.contaminated(docs, items, 5)
+    with pytest.raises(ValueError):
+        search(build_index(d), b, reach=module.GAP)
