@@ -1,4 +1,6 @@
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +16,7 @@ from tessella.llm.token_store import TokenStore, new_store_path, token_digest, w
 from . import brute
 
 DOCS = "doc_id long, text string"
+TEXTS = sorted(Path(license_scan.__file__).with_name("licences").glob("*.txt"))
 
 
 def test_decontamination_equals_brute_force(spark, sf):
@@ -234,7 +237,7 @@ def test_license_scan(spark):
     assert out == {
         "a/LICENSE": ("MIT", "file", None),
         "a/b/one.py": ("Apache-2.0", "header", None),
-        "a/b/c/two.py": ("Apache-2.0", "inherited", "a/b"),
+        "a/b/c/two.py": ("MIT", "inherited", "a"),  # a header is that of its own file only
         "a/three.py": ("MIT", "inherited", "a"),
         "x/four.py": (None, None, None),
         "five.py": (None, None, None),
@@ -522,3 +525,72 @@ def test_decontamination_of_common_words_in_steps(spark, monkeypatch):
         assert got == brute.contaminated(docs, items, 5)
     with pytest.raises(ValueError):
         search(build_index(d), b, reach=module.GAP)
+
+
+GPL3_HEADER = """#!/usr/bin/env python
+# A tool.
+#
+# Copyright (C) 2019 A. Name
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY.
+
+import sys
+"""
+
+
+def test_headers_by_paragraph_and_version(spark):
+    code = "x = [1, 2]\n" * 400
+    apache = "/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n */\n"
+    rows = [
+        ("p/a.py", GPL3_HEADER + code),
+        ("p/b.py", GPL3_HEADER.replace("version 3", "version 2") + code),
+        ("p/c.py", GPL3_HEADER.replace("General Public", "Lesser General Public").replace("program", "library").replace("version 3", "version 2.1") + code),
+        ("p/d.py", GPL3_HEADER.replace("GNU General", "GNU Affero General") + code),
+        ("p/e.c", apache + code),
+        ("p/f.c", "// SPDX-License-Identifier: GPL-2.0-or-later\n" + code),
+        ("p/g.c", "// SPDX-License-Identifier: MIT\n" + code),
+        ("p/h.c", "This program is free software: you can redistribute it and/or modify\n" + code),  # no version, no name
+        ("q/i.c", code),
+        ("q/i.c", "# Released under the MIT License.\n" + code),  # repeated path: one file with both texts
+        ("q/j.c", "Released under the MIT License.\n\nx = 1\n\nLicensed under CC BY 4.0.\n" + code),  # two at score 1: the first name
+    ]
+    out = license_scan.license_scan(spark.createDataFrame(rows, "path string, text string").repartition(3)).collect()
+    assert {r.path: r.licence for r in out} == {
+        "p/a.py": "GPL-3.0", "p/b.py": "GPL-2.0", "p/c.py": "LGPL-2.1", "p/d.py": "AGPL-3.0", "p/e.c": "Apache-2.0", "p/f.c": "GPL-2.0", "p/g.c": "MIT", "p/h.c": None, "q/i.c": "MIT", "q/j.c": "CC-BY-4.0"
+    }
+    assert len(out) == 10 and all(r.origin == "header" for r in out if r.licence)
+
+
+def real_licences():
+    """Licence files of the Python packages that the tests need anyway, with the name that each declares in its own words."""
+    import importlib.metadata as metadata
+
+    found = {}
+    for dist in metadata.distributions():
+        declared = str(dist.metadata.get("License-Expression") or dist.metadata.get("License") or "").strip()
+        name = {"MIT": "MIT", "MIT License": "MIT", "BSD-3-Clause": "BSD-3-Clause", "BSD 3-Clause": "BSD-3-Clause", "Apache-2.0": "Apache-2.0", "Apache 2.0": "Apache-2.0", "Apache License 2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "BSD-2-Clause": "BSD-2-Clause", "ISC": "ISC"}.get(declared)
+        several = sum(c.startswith("License ::") for c in dist.metadata.get_all("Classifier") or ()) > 1  # such a file has the texts of two
+        for f in dist.files or ():
+            if name and not several and re.fullmatch(r"licen[cs]e(\.txt|\.md|\.rst)?|copying", f.name.lower()) and "dist-info" in str(f):
+                found[f"{dist.metadata['Name']}/{f.name}"] = (name, f.locate().read_text("utf-8", "replace"))
+    return found
+
+
+def test_real_licence_files_are_named(spark):
+    real = real_licences()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.concat(F.lit("docs/"), "doc_id").alias("path"), "text")
+    rows = spark.createDataFrame([(k, t) for k, (_, t) in real.items()] + [(f"full/{f.stem}/x/LICENSE", "Some project\n\n" + f.read_text().replace("\n", "\r\n")) for f in TEXTS], "path string, text string")
+    out = {r.path: r for r in license_scan.license_scan(docs.unionByName(rows)).collect()}
+    for f in TEXTS:
+        assert (out[f"full/{f.stem}/x/LICENSE"].licence, out[f"full/{f.stem}/x/LICENSE"].origin) == (f.stem, "file")
+    named = {k: (out[k].licence, want) for k, (want, _) in real.items()}
+    bsd = lambda a, b: a == b or {a, b} <= {"BSD-2-Clause", "BSD-3-Clause"}
+    wrong = {k: v for k, v in named.items() if v[0] and not bsd(*v)}
+    right = [k for k, v in named.items() if v[0] == v[1]]
+    assert not wrong and len(right) >= 0.9 * len(real) and len(real) >= 5, (len(right), len(real), named)
