@@ -88,10 +88,10 @@ def _vocabulary() -> list[str]:
     return sorted({t for x in templates() for t, _ in x.counts})
 
 
-def _heaviest(template: Template, idf: dict[str, float], share: float) -> list[str]:
-    """The fewest terms that hold so much of the template's squared length."""
+def _heaviest(weights: dict[str, float], share: float) -> list[str]:
+    """The fewest terms that hold so much of a squared length of one."""
     out, total = [], 0.0
-    for t, x in sorted(template.weights(idf).items(), key=lambda i: (-i[1], i[0])):
+    for t, x in sorted(weights.items(), key=lambda i: (-i[1], i[0])):
         if total > share:
             break
         out.append(t)
@@ -99,6 +99,20 @@ def _heaviest(template: Template, idf: dict[str, float], share: float) -> list[s
     return out
 
 
+def _telling(full: list[Template], idf: dict[str, float]) -> tuple[list[str], int]:
+    """Terms of full texts, without those of every twentieth document, and how many of them a text has at least that shares enough with one of
+    the licences: what all common terms together hold of it is taken as given."""
+    for common in ({t for t, x in idf.items() if x < 1 + math.log(20)}, set()):
+        least = []
+        for x in full:
+            weights = x.weights(idf)
+            rest = {t: w for t, w in weights.items() if t not in common}
+            least.append(len(_heaviest(rest, FULL**2 - 1e-9 - sum(w * w for t, w in weights.items() if t in common))))
+        if min(least) > 5 or not common:
+            return sorted({t for x in full for t, _ in x.counts} - common), min(least)
+    raise AssertionError
+
+
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1))
 
@@ -129,9 +143,8 @@ def cosines(docs: DataFrame, text_col: str = "text", id_col: str = "path") -> Da
     n, idf = inverse_frequencies(docs, text_col)
     rare = 1 + math.log(1 + n)  # of any term that no template has
     statements, full = ([x for x in templates() if x.full == f] for f in (False, True))
-    must = sorted({t for x in statements for t in _heaviest(x, idf, 1 - STATEMENT**2 + 1e-9)})  # the rest holds too little
-    words = sorted({t for x in full for t, _ in x.counts})
-    least = min(len(_heaviest(x, idf, FULL**2 - 1e-9)) for x in full)
+    must = sorted({t for x in statements for t in _heaviest(x.weights(idf), 1 - STATEMENT**2 + 1e-9)})  # the rest holds too little
+    words, least = _telling(full, idf)
     # Repeated paths are one file with all their texts: units are numbered by text, too.
     base = docs.select(id_col, F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("text_hash")).withColumn("_all", _terms(F.col("_text")))
     says, whole = F.size(_known(F.col("_all"), must)) > 0, F.size(_known(F.array_distinct("_all"), words)) >= least

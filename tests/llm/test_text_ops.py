@@ -575,10 +575,11 @@ def real_licences():
     for dist in metadata.distributions():
         declared = str(dist.metadata.get("License-Expression") or dist.metadata.get("License") or "").strip()
         name = {"MIT": "MIT", "MIT License": "MIT", "BSD-3-Clause": "BSD-3-Clause", "BSD 3-Clause": "BSD-3-Clause", "Apache-2.0": "Apache-2.0", "Apache 2.0": "Apache-2.0", "Apache License 2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "BSD-2-Clause": "BSD-2-Clause", "ISC": "ISC"}.get(declared)
-        several = sum(c.startswith("License ::") for c in dist.metadata.get_all("Classifier") or ()) > 1  # such a file has the texts of two
         for f in dist.files or ():
-            if name and not several and re.fullmatch(r"licen[cs]e(\.txt|\.md|\.rst)?|copying", f.name.lower()) and "dist-info" in str(f):
-                found[f"{dist.metadata['Name']}/{f.name}"] = (name, f.locate().read_text("utf-8", "replace"))
+            if name and re.fullmatch(r"licen[cs]e(\.txt|\.md|\.rst)?|copying", f.name.lower()) and "dist-info" in str(f):
+                text = f.locate().read_text("utf-8", "replace")
+                if sum(x in text for x in ("Apache License", "Redistribution and use", "Permission is hereby granted", "Mozilla Public License")) == 1:  # not the texts of two
+                    found[f"{dist.metadata['Name']}/{f.name}"] = (name, text)
     return found
 
 
