@@ -1,6 +1,7 @@
 """Quality classifier: hierarchical empirical Bayes over document, path and host.
 
-A logistic model on surface features gives each document's evidence. Its means by host and by path within
+A logistic model gives each document's evidence, from surface counts and from two naive-Bayes scores on hashed word and character
+n-grams (the labelled documents are scored with the counts of those in the other fold). Its means by host and by path within
 host, as grouped sums, become posteriors that shrink to the level above with a strength that the spread between groups
 sets (method of moments), so a sparse site counts for little. A document's log odds are its own plus how far its path's
 posterior is from the global prior.
@@ -9,6 +10,7 @@ posterior is from the global prior.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from ._common import ASCII_SPACE, ROW, Words, buffers, keyed, mapped, steps, sto
 
 FEATURES = ("upper", "digit", "symbol", "shout", "bar", "repeat", "few_distinct", "word_length", "log_words", "long_words")
 LOG_WORDS = FEATURES.index("log_words")
+#: Buckets of hashed words and of hashed runs of CHARS bytes.
+WORD_BUCKETS, CHAR_BUCKETS, CHARS = 1 << 16, 1 << 14, 4
 #: Labelled rows that the classifier is fitted on at most, chosen by hash.
 TRAIN_ROWS = 50_000
 #: Documents with a posterior below are rejected.
@@ -41,6 +45,47 @@ def _classes() -> np.ndarray:
 _CLASSES = _classes()
 
 
+class Grams:
+    """Buckets of the words and character n-grams of a run of texts, lower-cased, with the text that each belongs to."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = buffers(column)
+        words = Words(data, offsets, ASCII_SPACE, fold=True)
+        self.words = (words.hashes() >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS, words.bound
+        n = max(0, len(data) - CHARS + 1)
+        code = np.zeros(n, np.uint32)
+        for k in range(CHARS):
+            code = code << np.uint32(8) | words.data[k : k + n]
+        bucket = (code * np.uint32(0x9E3779B1) >> np.uint32(18)).astype(np.int64)  # 14 bits
+        at = np.arange(n)
+        whole = np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, at + CHARS - 1, "right")
+        self.chars = bucket[whole], np.concatenate([[0], np.cumsum(whole)])[np.minimum(offsets, n)]
+
+    def scores(self, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Mean log ratio of a text's words and of its n-grams; 0 for a text without any."""
+        out = []
+        for (bucket, bound), table in zip((self.words, self.chars), tables):
+            total = np.concatenate([[0.0], np.cumsum(table[bucket])])
+            out.append((total[bound[1:]] - total[bound[:-1]]) / np.maximum(np.diff(bound), 1))
+        return np.stack(out, axis=1)
+
+    def present(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's different buckets, those of n-grams after those of words, and the texts."""
+        both = []
+        for first, (bucket, bound) in zip((0, WORD_BUCKETS), (self.words, self.chars)):
+            text = np.repeat(np.arange(len(bound) - 1), np.diff(bound))
+            both.append(np.unique(text << 32 | bucket + first))
+        both = np.concatenate(both)
+        return both & 0xFFFFFFFF, both >> 32
+
+
+def log_ratios(seen: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """seen: for label 0 and 1, the texts that have each bucket; texts: all of each label. Smoothed log ratios of words and n-grams."""
+    share = np.log((seen + 1.0) / (texts[:, None] + 2.0))
+    ratio = share[1] - share[0]
+    return ratio[:WORD_BUCKETS], ratio[WORD_BUCKETS:]
+
+
 def features(column: pa.Array) -> np.ndarray:
     """A row of FEATURES for each text; a text without words has zeros."""
     data, offsets = buffers(column)
@@ -88,33 +133,61 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) ->
     return w
 
 
-def _evidence(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Model:
+    weights: np.ndarray
+    tables: tuple[np.ndarray, np.ndarray]
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_design(x) @ self.weights, -30, 30)))
+
+
+def _evidence(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for step in steps(batch):
-            x = features(step.column("text"))
-            p = 1 / (1 + np.exp(-np.clip(_design(x) @ weights, -30, 30)))
+            x = np.concatenate([features(step.column("text")), Grams(step.column("text")).scores(model.tables)], axis=1)
             keys = [c for c in step.schema.names if c != "text"]
-            yield pa.record_batch([*(step.column(c) for c in keys), pa.array(p, mask=x[:, LOG_WORDS] == 0)], [*keys, "p"])
+            yield pa.record_batch([*(step.column(c) for c in keys), pa.array(model.probability(x), mask=x[:, LOG_WORDS] == 0)], [*keys, "p"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets by fold and label, with the number of texts that have each; bucket -1 counts the texts."""
+    for batch in batches:
+        for step in steps(batch):
+            group = step.column("fold").to_numpy() * 2 + step.column("quality").to_numpy()
+            bucket, text = Grams(step.column("text")).present()
+            key, n = np.unique(np.concatenate([group[text].astype(np.int64) << 32 | bucket + 1, group.astype(np.int64) << 32]), return_counts=True)
+            yield pa.record_batch([pa.array((key >> 32).astype(np.int32)), pa.array((key & 0xFFFFFFFF).astype(np.int32) - 1), pa.array(n)], ["cell", "bucket", "n"])
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _featured(batches: Iterator[pa.RecordBatch], tables: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Features of labelled texts, with the scores by the counts of the other fold."""
     for batch in batches:
         for step in steps(batch):
-            x = features(step.column("text"))
+            grams, fold = Grams(step.column("text")), step.column("fold").to_numpy()
+            scores = np.where(fold[:, None] == 0, grams.scores(tables[1]), grams.scores(tables[0]))
+            x = np.concatenate([features(step.column("text")), scores], axis=1)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
             yield pa.record_batch([rows, step.column("quality")], ["x", "quality"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray | None:
-    """Weights from at most `rows` labelled documents; rows without an id, text or label are left out."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
+    """A model of at most `rows` labelled documents; rows without an id, text or label are left out. None unless both labels are there."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `rows` ids and labels
-    table = mapped(found.select("text", "quality"), _featured, "x array<double>, quality int").toArrow()
-    if not table.num_rows:
+    found = stored(found.select("text", "quality", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold")), "quality-labelled")
+    counts = mapped(found, _counted, "cell int, bucket int, n long").groupBy("cell", "bucket").agg(F.sum("n").alias("n")).toArrow()  # a row for each cell and bucket at most
+    seen = np.zeros((4, WORD_BUCKETS + CHAR_BUCKETS + 1))
+    seen[counts.column("cell").to_numpy(), counts.column("bucket").to_numpy() + 1] = counts.column("n").to_numpy()
+    texts, seen = seen[:, 0], seen[:, 1:]
+    if not (texts[[0, 2]].any() and texts[[1, 3]].any()):
         return None
+    tables = [log_ratios(seen[2 * k : 2 * k + 2], texts[2 * k : 2 * k + 2]) for k in (0, 1)]
+    table = mapped(found, lambda b: _featured(b, tables), "x array<double>, quality int").toArrow()
     x = np.array(table.column("x").to_pylist()).reshape(table.num_rows, -1)
-    return fit(x, table.column("quality").to_numpy().astype(float))
+    weights = fit(x, table.column("quality").to_numpy().astype(float))
+    return None if weights is None else Model(weights, log_ratios(seen[:2] + seen[2:], texts[:2] + texts[2:]))
 
 
 def _logit(p: Column) -> Column:
@@ -133,7 +206,8 @@ def _strength(groups: DataFrame, prior: Column) -> Column:
 def quality_posteriors(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, evidence, host_posterior, path_posterior, posterior, accepted: one row for each document row.
 
-    A text that is null or has no words brings no evidence: it takes its path's posterior. Null hosts and paths are groups of
+    Host and path are columns that say where a document is from; where a corpus has no URLs, its language can stand for the path, as the
+    defaults have it. A text that is null or has no words brings no evidence: it takes its path's posterior. Null hosts and paths are groups of
     their own. Labels that are null or repeated count once, the higher of two. Without labels of both classes every
     document is accepted, with posterior 1. Other columns are ignored; no rows give no rows.
     """
@@ -142,11 +216,11 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, host_col: str = "sour
 
 def _posteriors(docs: DataFrame, labels: DataFrame, host_col: str, path_col: str, train_rows: int, keys: list[str]) -> DataFrame:
     base = docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("\0null")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("\0null")).alias("path"), "text")
-    weights = train(base, labels, train_rows)
-    if weights is None:
+    model = train(base, labels, train_rows)
+    if model is None:
         one = F.lit(1.0)
         return base.select(*keys, "doc_id", F.lit(None).cast("double").alias("evidence"), one.alias("host_posterior"), one.alias("path_posterior"), one.alias("posterior"), F.lit(True).alias("accepted"))
-    scored = stored(mapped(base, lambda b: _evidence(b, weights), "".join(f"{k} long, " for k in keys) + "doc_id long, host string, path string, p double"), "quality-evidence")
+    scored = stored(mapped(base, lambda b: _evidence(b, model), "".join(f"{k} long, " for k in keys) + "doc_id long, host string, path string, p double"), "quality-evidence")
     paths = stored(scored.where("p is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     within = lambda g: g.withColumn("w", F.col("q") - F.col("s") * F.col("s") / F.col("n"))

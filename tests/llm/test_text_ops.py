@@ -595,3 +595,49 @@ def test_real_licence_files_are_named(spark):
     wrong = {k: v for k, v in named.items() if v[0] and not bsd(*v)}
     right = [k for k, v in named.items() if v[0] == v[1]]
     assert not wrong and len(right) >= 0.9 * len(real) and len(real) >= 5, (len(right), len(real), named)
+
+
+def test_quality_by_vocabulary(spark):
+    """Good and bad texts that differ in nothing but their words are told apart on held-out documents."""
+    rng = np.random.default_rng(11)
+    words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxy'[k // 100]}" for k in range(500)]
+    text = lambda good: " ".join(words[int(k)] for k in np.where(rng.random(30) < 0.3, rng.integers(0, 100, 30) + (0 if good else 100), rng.integers(200, 500, 30)))
+    docs = spark.createDataFrame([(k, text(k % 2), "s", "en") for k in range(1200)] + [(5000, "x" * 400_000 + " y", "s", "en"), (5001, "x " * 100_000, "t", None)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, quality int")
+    out = [r for r in quality_posteriors(docs, labels).collect() if 600 <= r.doc_id < 1200]
+    assert sum(r.accepted == bool(r.doc_id % 2) for r in out) > 0.93 * len(out)
+
+
+def test_posteriors_equal_the_formula(spark, sf):
+    """Hosts, paths and documents by plain loops over the evidence."""
+    import math
+    from collections import defaultdict
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r for r in quality_posteriors(docs, labels).collect()}
+    where = {r.doc_id: (r.source, r.lang) for r in docs.collect()}
+    groups = {1: defaultdict(list), 2: defaultdict(list)}
+    for i, r in got.items():
+        if r.evidence is not None:
+            groups[1][where[i][:1]].append(r.evidence)
+            groups[2][where[i]].append(r.evidence)
+    prior = sum(sum(g) for g in groups[1].values()) / sum(len(g) for g in groups[1].values())
+
+    def strength(found, above):
+        n = sum(map(len, found.values()))
+        spread = sum(len(g) * (sum(g) / len(g) - above(k)) ** 2 for k, g in found.items()) / n
+        noise = sum(sum((p - sum(g) / len(g)) ** 2 for p in g) for g in found.values()) / n
+        excess = spread - noise * len(found) / n
+        return min(1000.0, max(5.0, noise / excess if excess > 0 else 1000.0))
+
+    k = strength(groups[1], lambda _: prior)
+    host = {h: (sum(g) + k * prior) / (len(g) + k) for h, g in groups[1].items()}
+    k = strength(groups[2], lambda p: host[p[:1]])
+    path = {p: (sum(g) + k * host[p[:1]]) / (len(g) + k) for p, g in groups[2].items()}
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for i, r in got.items():
+        h = host.get(where[i][:1], prior)
+        p = path.get(where[i], h)
+        want = p if r.evidence is None else 1 / (1 + math.exp(-(logit(r.evidence) + logit(p) - logit(prior))))
+        assert r.host_posterior == pytest.approx(h) and r.path_posterior == pytest.approx(p) and r.posterior == pytest.approx(want)
+        assert r.accepted == (r.posterior >= 0.5)
