@@ -3,12 +3,13 @@
 A tokenizer that drops white space and never joins across it gives a text the ids of its words, one after another;
 one that also keeps letters apart from marks gives the ids of the pieces between letters and ASCII marks. Then
 each distinct piece has to be encoded once: pieces are hashed for a whole block of texts at a time, looked up in
-a table of known ones, and their ids gathered. Whether a tokenizer is of this kind is tried on a probe when the
-encoder is made; any other gets whole texts.
+a table of known ones, and their ids gathered. Whether a tokenizer is of this kind is read from the normalizer and
+pre-tokenizer that its file declares, and tried on a probe when the encoder is made; any other gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -19,6 +20,8 @@ from ._common import ASCII_SPACE, U64, Words
 KNOWN = 1_500_000
 #: New pieces that wait in a small table before they are merged into the large one.
 RECENT = 100_000
+#: Fixed value: the split of a word tokenizer whose matches hold no white space and never both letters and ASCII marks but the apostrophe.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PROBE = "It's a Test, naïve 12 thé́ é́x  \t don't!? #tag\n z y ́a 'S'll Σας İi ﬁ 你好…, 12:30 a.,b x., Y.\r\n (a-b) x's rock'n'roll a…,b end".encode()
 
 _LETTER = np.zeros(256, bool)
@@ -44,6 +47,26 @@ class Pieces(Words):
         self.count = np.diff(self.bound)
 
 
+def declares_pieces(declared: dict) -> bool:
+    """Whether a tokenizer, by its own description, gives a text the ids of its pieces: what it normalizes never reaches over white
+    space (composition, one character's lower case, runs of white space), it keeps the matches of WORD_SPLIT only, and neither
+    truncates nor pads."""
+
+    def parts(x: dict | None, name: str) -> list[dict]:
+        return [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+
+    for x in parts(declared["normalizer"], "normalizers"):
+        if x["type"] not in ("NFC", "Lowercase") and (x["type"], x.get("pattern"), x.get("content")) != ("Replace", {"Regex": r"\s+"}, " "):
+            return False
+    split, *rest = parts(declared["pre_tokenizer"], "pretokenizers") or [{"type": None}]
+    if (split["type"], split.get("pattern"), split.get("behavior"), split.get("invert")) != ("Split", {"Regex": WORD_SPLIT}, "Removed", True):
+        return False
+    if any(x["type"] != "ByteLevel" or x["add_prefix_space"] or x["use_regex"] for x in rest):
+        return False
+    model = declared["model"]
+    return model["type"] == "BPE" and not model["dropout"] and declared["truncation"] is None and declared["padding"] is None
+
+
 class Encoder:
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -54,7 +77,9 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
-        self.by_piece = True
+        self.by_piece = declares_pieces(json.loads(self.tokenizer.to_str()))
+        if not self.by_piece:
+            return
         probe = np.frombuffer(PROBE, np.uint8)
         self.by_piece = self.encode(probe, np.array([0, len(probe)]))[0].tolist() == [*self.whole([PROBE.decode()])[0].tolist(), end_id]
         self.forget()

@@ -99,6 +99,30 @@ def test_another_tokenizer_gets_whole_texts():
     assert ids.tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_pieces_need_a_declaration(tokenizer):
+    """A tokenizer that only looks alike on a probe is given whole texts."""
+    import json
+
+    from tessella.llm.token_encoder import declares_pieces
+
+    said = json.loads(tokenizer.to_str())
+    assert declares_pieces(said)
+    for change in ({"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"truncation": {"max_length": 512}}, {"model": said["model"] | {"dropout": 0.1}}):
+        assert not declares_pieces(said | change)
+    assert declares_pieces(said | {"normalizer": {"type": "Lowercase"}})
+
+
+def test_encoder_on_random_strings(tokenizer):
+    rng = np.random.default_rng(5)
+    signs = list("ab Z'.,:!<|>-09 \n\t") + ["\u0301", "\u00a0", "Σ", "σ", "İ", "ﬁ", "\u0338", "=", "é", "你", "\u2003", "\u200d", "'s", "Ａ", "\u1e9e", "🙂"]
+    texts = ["".join(signs[k] for k in rng.integers(0, len(signs), int(rng.integers(0, 40)))) for _ in range(3000)] + ["ΑΣ.a b ΑΣ'Β ΑΣ:b", "Σ^Σ`Σ"]
+    own = Encoder(queries.tokenizer_path(), 1)
+    raw = [t.encode() for t in texts]
+    ids, size = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(int))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+    assert got == [[*e.ids, 1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_store_round_trip(spark, tokenizer):
     rows = [(k * 3 % 11, t) for k, t in enumerate(ODD)] + [(50, None)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("tokens", F.lit("clash")).repartition(3)
