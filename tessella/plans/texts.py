@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import amounts as A
 from ..functions import chat as C
+from ..functions import english as E
 from ..functions import procedural as P
 from ..functions import text as T
 from .registry import query, table
@@ -40,14 +42,15 @@ one("expand_abbreviations", None, T.expand_abbreviations)
 one("strip_tags", "regexp_replace(text, '<.*?>', '', 'g')", T.strip_tags)
 one("strip_role_marks", "replace(replace(text, 'user' || chr(10) || chr(10), ''), 'assistant' || chr(10) || chr(10), '')", T.strip_role_marks)
 one("markdown_links", r"regexp_replace(text, '(https?://(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b[-a-zA-Z0-9()@:%_+.~#?&/=]*)', '[\1](\1)', 'g')", T.markdown_compatible)
-one("english_rewrite", None, T.english_rewrite)
+one("english_rewrite", None, lambda t: P.string_udf(E.english_normalized)(t))
 one("symbols_and_diacritics", None, T.remove_symbols_and_diacritics)
 one("word_substitution", "array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), lambda w: CASE w WHEN 'the' THEN 'THE' WHEN 'of' THEN 'OF' ELSE w END), ' ')", lambda t: F.array_join(T.substitute_words(T.tokens(t), {"the": "THE", "of": "OF"}), " "))
 one("truncate_repetitions", None, lambda t: P.string_udf(P.truncate_repetitions)(t))
-one("digits_of_words", None, lambda t: P.string_udf(P.digits_of_words)(t))
-one("spell_numbers", None, lambda t: P.string_udf(P.spell_numbers)(t))
-one("speak_numbers", None, lambda t: P.string_udf(P.speak_numbers)(t))
-one("number_rules", None, lambda t: P.string_udf(lambda t: P.number_rules_after(P.number_rules_before(t)))(t))
+one("digits_of_words", None, lambda t: P.string_udf(A.digits_of_words)(t))
+one("spell_numbers", None, lambda t: P.string_udf(A.spell_numbers)(t))
+one("speak_numbers", None, lambda t: P.string_udf(A.speak_numbers)(t))
+one("number_rules", None, lambda t: P.string_udf(lambda t: A.number_rules_after(A.number_rules_before(t)))(t))
+one("speech_text", None, lambda t: P.string_udf(A.speech_text)(t))
 one("drop_repeated_references", None, lambda t: P.string_udf(P.drop_repeated_references)(t))
 one("normalize_lists", None, lambda t: P.string_udf(P.normalize_lists)(t))
 one("correct_tables", None, lambda t: P.string_udf(P.correct_tables)(t))

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import amounts as A
+from tessella.functions import english as N
 from tessella.functions import procedural as P
 from tessella.operators import evaluate as E
 from tessella.operators import order as O
@@ -162,27 +164,58 @@ def test_wordpieces_and_bpe():
 
 @pytest.mark.parametrize(
     "said, digits",
-    [("two hundred and five cats", "205 cats"), ("twenty first", "21st"), ("nineteen eighty four", "1984"), ("three point one four", "3.14"), ("five dollars", "$5"), ("ten percent", "10%"), ("two million three thousand and one", "2003001"), ("no numbers", "no numbers"), ("one oh one", "101")],
+    [("two hundred and five cats", "205 cats"), ("twenty first", "21st"), ("nineteen eighty four", "1984"), ("three point one four", "3.14"), ("five dollars", "$5"), ("ten percent", "10%"), ("two million three thousand and one", "2003001"), ("no numbers", "no numbers"), ("one oh one", "101"), ("double seven", "77"), ("triple oh seven", "0007"), ("minus five", "-5"), ("five dollars and seven cents", "$5 and ¢7"), ("twenty five per cent", "25%"), ("two point five million", "2500000"), ("nineteen sixties", "1960s"), ("twenty one two", "212"), ("minus", "minus"), ("fifty point x", "50 point x"), ("$20 million", "$20000000"), ("1 . 5", "1 . 5")],
 )
 def test_digits_of_words(said, digits):
-    assert P.digits_of_words(said) == digits
+    assert A.digits_of_words(said) == digits
 
 
 @pytest.mark.parametrize(
     "text, said",
-    [("$5.50", "five dollars, fifty cents"), ("1,234", "one thousand two hundred thirty-four"), ("21st", "twenty-first"), ("in 1984", "in one thousand nine hundred eighty-four"), ("in 1900", "in nineteen hundred"), ("2005", "two thousand five"), ("3.5", "three point five")],
+    [("$5.50", "five dollars, fifty cents"), ("1,234", "one thousand, two hundred thirty-four"), ("21st", "twenty-first"), ("in 1984", "in one thousand, nine hundred eighty-four"), ("in 1900", "in nineteen hundred"), ("2005", "two thousand five"), ("3.5", "three point five"), ("3.14", "three point fourteen"), ("£1,000", "one thousand pounds"), ("$.50", "fifty cents"), ("$1.2.3", "one point two.three dollars"), ("$0", "zero dollars"), ("1" * 20, "number out of range")],
 )
 def test_spell_numbers(text, said):
-    assert P.spell_numbers(text) == said
+    assert A.spell_numbers(text) == said
 
 
 def test_speak_numbers():
-    assert P.speak_numbers("-5 and 20% of $3") == "minus five and twenty percent of three dollars"
+    assert A.speak_numbers("-5 and 20% of $3") == "minus five and twenty percent of three dollars"
+
+
+def test_chains_over_numbers():
+    assert A.speak_numbers("1,234.50 and 105") == "one thousand two hundred and thirty four point five zero and one hundred and five"
+    assert A.speech_text('Dr. “X” paid\n$5.50 on the 21st, "ok"') == "doctor x paid five dollars, fifty cents on the twenty-onest, ok"
+    assert A.normalized_numbers("five dollars and seven cents") == "$5.07" and A.normalized_numbers("two and a half") == "2.5"
+    said = "Mr. O'Neil's son wasn't there [noise] (laughs), um, he'd been to twenty first street; it's 5,000 % of $3 – naïve œuvre"
+    assert N.english_normalized(said).split() == "mister o'neil is son was not there he had been to 21st street it is 5000 of $3 naive oeuvre".replace("o'neil", "0 neil").split()
+    assert N.english_normalized("The colour of grey", {"colour": "color", "grey": "gray"}) == "the color of gray"
+
+
+def test_numbers_of_any_length():
+    """No text makes the number functions fail, whatever figures and number words it has."""
+    import random
+
+    rng = random.Random(2)
+    lexicon = [*A.LEXICON, "2.0", "0.5", "3", "$7", "-1", "¢5", "1,234", ".5", "$1.2.3", "x", "9" * 5000, "21st", "and a half", "²", "٣", "1.", "%"]
+    for _ in range(3000):
+        text = " ".join(rng.choice(lexicon) for _ in range(rng.randrange(12)))
+        for f in (A.normalized_numbers, A.spell_numbers, A.speak_numbers, A.speech_text, N.english_normalized):
+            assert isinstance(f(text), str)
+    assert A.digits_of_words("2.0 x") == "2 x" and A.digits_of_words(" ".join(["one"] * 6000) + " hundred").endswith(" 100")
+
+
+def test_pieces_of_arrays(spark):
+    rows = [(["unaffable", "aff", "x", None, ""],), (None,), ([],), (["unaffable"] * 3,)]
+    df = spark.createDataFrame(rows, "w array<string>").coalesce(1)
+    got = [r[0] for r in df.select(P.wordpiece_udf(["un", "##aff", "##able", "aff"])("w")).collect()]
+    one = ["un", "##aff", "##able"]
+    assert got == [[*one, "aff", "[UNK]"], None, [], one * 3]
+    assert [r[0] for r in df.where("w is not null").select(P.byte_bpe_udf({("a", "b"): 0})(F.array(F.lit("aab"), F.lit("é")))).collect()][0] == ["a", "ab", "Ã", "©"]
 
 
 def test_number_rules():
-    assert P.number_rules_before("two and a half b2 1st") == "two point five b 2 1st"
-    assert P.number_rules_after("$2 and ¢7, $0.07, 1") == "$2.07, ¢7, one"
+    assert A.number_rules_before("two and a half b2 1st") == "two point five b 2 1st"
+    assert A.number_rules_after("$2 and ¢7, $0.07, 1") == "$2.07, ¢7, one"
 
 
 def test_truncate_repetitions():
