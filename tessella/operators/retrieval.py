@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .storage import stored
 
 #: Query vectors in one block: a block goes to every task, so its size is bounded.
 QUERY_BLOCK = 4096
 CORPUS_STEP = 8192
+#: Words of the queries in one block of a BM25 search, and documents that one step scores.
+BM25_BLOCK = 50_000
+BM25_STEP = 256
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -63,20 +69,22 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", id_co
     """
     base = corpus.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("pid"), F.col(vector_col).alias("v"))
     asked = queries.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("qid"), F.col(vector_col).alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = []
-    for b in range(blocks):
-        block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).toArrow()
-        qid, q = block.column("qid").to_numpy(), _matrix(block.column("v"))
-        if len(qid):
-            parts.append(base.mapInArrow(lambda it, qid=qid, q=q: _local_top(it, qid, q, k, metric), "qid long, pid long, score double"))
-    if not parts:
-        return base.sparkSession.createDataFrame([], "qid long, pid long, score double, rank int")
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
-    return merge_top(local, k, ascending=metric == "l2")
+    found = _in_blocks(asked, "qid", asked.count(), QUERY_BLOCK, lambda block: base.mapInArrow(partial(_local_top, qid=block.column("qid").to_numpy(), q=_matrix(block.column("v")), k=k, metric=metric), _HITS))
+    return merge_top(found, k, ascending=metric == "l2")
+
+
+_HITS = "qid long, pid long, score double"
+
+
+def _in_blocks(asked: DataFrame, key: str, size: int, block_size: int, run: Callable[[pa.Table], DataFrame]) -> DataFrame:
+    """The hits of all queries, block by block. With several blocks each one's hits are stored before the next is read, so the driver
+    and the tasks hold one block at a time."""
+    blocks = max(1, -(-size // block_size))
+    if blocks == 1:
+        block = asked.toArrow()
+        return run(block) if block.num_rows else asked.sparkSession.createDataFrame([], _HITS)
+    parts = [stored(run(block), "hits") for b in range(blocks) if (block := asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toArrow()).num_rows]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merge_top(hits: DataFrame, k: int, ascending: bool = False) -> DataFrame:
@@ -108,24 +116,63 @@ def pad_missing(neighbors: Column, n: int) -> Column:
     return F.concat(known, F.array_repeat(F.lit(-1).cast("long"), F.greatest(F.lit(n) - F.size(known), F.lit(0))))
 
 
+def _bm25_top(batches: Iterator[pa.RecordBatch], term: pa.Array, idf: np.ndarray, asked: np.ndarray, bound: np.ndarray, qid: np.ndarray, k: int, k1: float, b: float, avgdl: float) -> Iterator[pa.RecordBatch]:
+    """The k best of a partition for each query. asked: queries by term, those of term t from bound[t] to bound[t + 1]."""
+    best: tuple[np.ndarray, np.ndarray] | None = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, BM25_STEP):
+            step = batch.slice(at, BM25_STEP)
+            words, pid = step.column("w"), step.column("pid").to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            t = pc.fill_null(pc.index_in(words.flatten(), value_set=term), -1).to_numpy(zero_copy_only=False)
+            cell, tf = np.unique(t[t >= 0].astype(np.int64) * len(size) + row[t >= 0], return_counts=True)
+            t, row = cell // len(size), cell % len(size)
+            part = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / avgdl))
+            cut = np.flatnonzero(np.diff(t, prepend=-1))
+            score = np.zeros((len(qid), len(size)))
+            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(t)]):
+                q = asked[bound[t[x]] : bound[t[x] + 1]]
+                score[np.ix_(q, row[x:y])] += part[x:y]
+            score[score == 0] = -np.inf  # shares no word
+            score = np.round(score, 6)
+            if best is None:
+                best = np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
+            better = np.flatnonzero((score >= np.maximum(best[0][:, -1:], np.finfo(float).min)).any(axis=1))  # queries with a new hit
+            ids = np.broadcast_to(pid, (len(better), len(pid)))
+            best[0][better], best[1][better] = _best(np.concatenate([best[0][better], score[better]], 1), np.concatenate([best[1][better], ids], 1), k, -1)
+    if best is not None:
+        hit = best[0] > -np.inf
+        yield pa.record_batch([pa.array(np.repeat(qid, hit.sum(1))), pa.array(best[1][hit]), pa.array(best[0][hit])], ["qid", "pid", "score"])
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 0.82, b: float = 0.68, query_id: str = "item_id", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """qid, pid, score, rank of the k best documents by BM25 over lower-cased alphanumeric words.
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Only words of the queries are counted in the documents; a query's words count once.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). A query's words count once. Document frequencies are counted per task first; then blocks
+    of queries of bounded size go to the documents, and every partition gives its own k best: what a frequent word has in
+    common with many queries and documents is summed where it is read and never shuffled.
     Without stemming, stop words and lossy norms, so scores differ from an index that has them.
     """
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    sized = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("pid"), words(F.col(text)).alias("w"))
-    asked = queries.select(F.col(query_id).alias("qid"), F.explode(F.array_distinct(words(F.col(text)))).alias("term"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    known = asked.select("term").distinct()
-    tf = sized.select("pid", F.size("w").alias("dl"), F.explode("w").alias("term")).join(known, "term", "left_semi").groupBy("pid", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "term").crossJoin(F.broadcast(totals))  # totals is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(weighted.select("term", "pid", part.alias("part")), "term").groupBy("qid", "pid").agg(F.round(F.sum("part"), 6).alias("score"))
-    return merge_top(scored, k)
+    sized = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("pid"), words(F.col(text)).alias("w"))
+    asked = queries.where(F.col(query_id).isNotNull()).select(F.col(query_id).cast("long").alias("qid"), F.explode(F.array_distinct(words(F.col(text)))).alias("term")).distinct()
+    total = sized.agg(F.count("*"), F.avg(F.size("w"))).first()
+    df = sized.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(total[0]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = stored(asked.join(df, "term").select("qid", "term", idf.alias("idf")), "bm25-asked")
+
+    def run(block: pa.Table) -> DataFrame:
+        term = block.column("term").combine_chunks().dictionary_encode()
+        qid, q = np.unique(block.column("qid").to_numpy(), return_inverse=True)
+        t = term.indices.to_numpy()
+        order = np.argsort(t, kind="stable")
+        bound = np.searchsorted(t[order], np.arange(len(term.dictionary) + 1))
+        known = np.zeros(len(term.dictionary))
+        known[t] = block.column("idf").to_numpy()
+        return sized.mapInArrow(partial(_bm25_top, term=term.dictionary, idf=known, asked=q[order], bound=bound, qid=qid, k=k, k1=k1, b=b, avgdl=total[1]), _HITS)
+
+    return merge_top(_in_blocks(asked, "qid", asked.count(), BM25_BLOCK, run), k)
 
 
 def hard_negatives(vectors: DataFrame, depth: int = 101) -> DataFrame:

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators.retrieval import knn
+from ..operators.storage import new_path
 from ..sources import readers as R
 from ..sources import sinks as W
 from .registry import query, table
 
 
 def scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-io-")
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return new_path(spark, "io")
 
 
 @query("json_lines_round_trip", "SELECT doc_id AS id, text AS contents FROM documents")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.storage import new_path
+
 
 def replay(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
     """A Parquet table as a stream. The last letter is a pattern, so that one file is as good as a folder."""
@@ -27,10 +27,7 @@ def drained(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame,
     Results are files keyed by batch: a batch that runs again overwrites its own.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessella-stream-")
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
 
     def put(df: DataFrame, n: int) -> None:
         (batch(df, n) if batch else df).write.mode("overwrite").parquet(f"{root}/out/batch={n}")

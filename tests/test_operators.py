@@ -295,3 +295,23 @@ def test_callbacks(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in.parquet"))
     M.run_files(spark, str(tmp_path / "in.parquet"), str(tmp_path / "out"), lambda pdf: pdf[["n"]], "n long")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_blocks_of_queries_find_the_same(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(60)]
+    text = lambda n: " ".join(["the"] + [rng.choice(vocabulary) for _ in range(n)])
+    docs = spark.createDataFrame([(k, text(rng.randrange(30))) for k in range(700)] + [(900, None), (901, ""), (None, "w1"), (902, "other words")], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(k, text(4)) for k in range(20)] + [(50, None), (None, "w1"), (51, "unknown"), (3, "w5")], "item_id long, text string")
+    whole = sorted(map(tuple, R.bm25(asked, docs, 4).collect()))
+    assert len(whole) == 80 and not any(r[0] == 51 for r in whole)
+    monkeypatch.setattr(R, "BM25_BLOCK", 7)
+    monkeypatch.setattr(R, "BM25_STEP", 50)
+    assert sorted(map(tuple, R.bm25(asked, docs, 4).collect())) == whole
+    assert R.bm25(asked.limit(0), docs, 4).count() == 0 and R.bm25(asked, docs.limit(0), 4).count() == 0
+    vectors = spark.createDataFrame([(k, [rng.random() for _ in range(4)]) for k in range(90)], "vec_id long, embedding array<double>")
+    near = sorted(map(tuple, R.knn(vectors, vectors, 3).collect()))
+    monkeypatch.setattr(R, "QUERY_BLOCK", 25)
+    assert sorted(map(tuple, R.knn(vectors, vectors, 3).collect())) == near and len(near) == 270
