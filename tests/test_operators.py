@@ -220,17 +220,36 @@ def test_number_rules():
 
 def test_truncate_repetitions():
     unit = "a sentence that is long enough to count. "
-    assert P.truncate_repetitions("start " + unit * 4) == "start " + unit
+    assert P.truncate_repetitions("start " + unit * 4) == "start " + unit.rstrip()
     assert P.truncate_repetitions("short short short") == "short short short"
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        t = "".join(rng.choice("ab") for _ in range(rng.randrange(40))) + "".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))) * rng.randrange(1, 8)
+        n = len(t)
+        slow = max((r for r in range(2, n // 2) if t[n - 2 * r : n - r] == t[n - r :]), default=0)
+        assert P._longest_square(t, 2) == (slow if n >= 4 else 0)
 
 
 def test_line_runs_and_documents():
     assert P.similar_line_runs(["same line"] * 20 + ["other"]) == [(0, 19)]
+    assert P.similar_line_runs(["same line"] * 15 + ["other"]) == []
+    assert P.similar_line_runs(["x"] + ["same line", ""] * 10 + ["end line"]) == [(1, 19)]
+    assert P.similar_line_runs(["same line"] * 10 + ["other one", "same line"] + ["same line"] * 9) == [(0, 20)]  # two runs near each other
+    assert P.similar_line_runs(["[MISSING_PAGE 1]"] * 30) == []
     assert P.indel_ratio("abcd", "abce") == 0.75
-    assert P.clean_document("x\n" + "same line\n" * 20 + "y").count("same line") <= 2
-    assert "[MISSING" in P.drop_repeated_references("a\n# References\n" + "* [1] X\n* [2] X\n* [3] X\n* [4] X\n")
-    assert P.correct_tables("a\n" + "&" * 500 + "\nb") == "a\nb"
-    assert P.normalize_lists("- 1. a - 1.1. b") == "- 1. a\n\t- 1.1. b"
+    made_up = "a\n## References\n\n" + "".join(f"* [{k}] Author, Title of it, {1900 + k}.\n" for k in range(20)) + "tail"
+    assert P.drop_repeated_references(made_up) == "a\n\n\n[MISSING_PAGE_POST]\n\n\ntail"
+    assert P.drop_repeated_references("plain\n## References\n* [1] A\n* [2] Quite another") == "plain\n## References\n* [1] A\n* [2] Quite another"
+    assert P.correct_tables("a\n" + "&" * 500 + "\nb") == "a\n\nb"
+    assert P.correct_tables("\\begin{table} \\begin{tabular}{l l} & \\ \\end{tabular} \\end{table} Tab") == "\\begin{table}\n\\begin{tabular}{l l} & \\ \\end{tabular}\n\\end{table}\nTab"
+    assert P.correct_tables("see \\begin{tabular}{l}") == "see \n\\begin{tabular}{l}"
+    assert P.normalize_lists("- a b - 1.1 c d") == "- a b\n\t- 1.1 c d"
+    assert P.normalize_lists("* one two * i.v three") == "* one two\n\t* i.v three"
+    assert P.normalize_lists("no list - here * there") == "no list - here * there"
+    page = "# 12\n" + "Some text of _x_ here.\n\n\n\n.\nFootnote 1: thanks: me\n\n" + "* [1][]Name\n" + "# Lost heading"
+    assert P.clean_document(page) == "\nSome text of \\(x\\) here.\n\nFootnote 1: me\n\n* [1]Name "
 
 
 def test_final_text():
