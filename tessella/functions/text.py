@@ -321,3 +321,13 @@ def strip_tags(text: Column) -> Column:
 def adjusted_position(text: Column, position: Column) -> Column:
     """Where a place in tagged text is once the tags before it are gone."""
     return F.length(strip_tags(F.substring(text, F.lit(1), position)))
+
+
+def json_field(text: Column, name: str) -> Column:
+    """A field of a JSON object as text; null where the text is no object or has none of that name."""
+    return F.get_json_object(text, f"$.{name}")
+
+
+def json_keys(text: Column) -> Column:
+    """The names of a JSON object's fields in order; null for other texts."""
+    return F.json_object_keys(text)

@@ -1,6 +1,6 @@
 """All queries of the engine by name."""
 
-from . import corpus, engine, formats, scoring, search, spans, streams, texts, vectors  # noqa: F401  they register their queries
+from . import corpus, engine, files, formats, scoring, search, spans, streams, texts, vectors  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
