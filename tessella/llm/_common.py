@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +63,21 @@ def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
     now = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name))
     if not 0 < now <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(partial(_frugal, fn=fn), schema)
+
+
+def _frugal(batches: Iterator[pa.RecordBatch], fn) -> Iterator[pa.RecordBatch]:
+    """fn of the batches; then the worker, which is kept for other tasks and stages, gives what is free back to the machine."""
+    yield from fn(batches)
+    give_back()
+
+
+def give_back() -> None:
+    """What this process has freed goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def _scans_files(df: DataFrame) -> bool:

@@ -27,7 +27,7 @@ SHINGLE = 5
 #: Similarity as a fraction: num / den.
 NUM, DEN = 80, 100
 #: Part entries that a task gathers before it sorts and sends them.
-RUN_PARTS = 1_000_000
+RUN_PARTS = 500_000
 #: Larger groups of texts that agree on a part are compared in blocks of this many.
 BLOCK = 2_000
 #: Logarithm of the chance, at most, that a text fills too few parts for the pigeonhole argument.

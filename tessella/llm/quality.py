@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, ROW, Words, buffers, keyed, mapped, steps, stored
+from ._common import ASCII_SPACE, FOLD, ROW, Words, buffers, give_back, keyed, mapped, steps, stored
 
 FEATURES = ("upper", "digit", "symbol", "shout", "bar", "repeat", "few_distinct", "word_length", "log_words", "long_words")
 LOG_WORDS = FEATURES.index("log_words")
+#: Bytes of text that are looked at together.
+FEATURE_BYTES = 1 << 18
 #: Buckets of hashed words and of hashed runs of CHARS bytes.
 WORD_BUCKETS, CHAR_BUCKETS, CHARS = 1 << 16, 1 << 14, 4
 #: Labelled rows that the classifier is fitted on at most, chosen by hash.
@@ -32,13 +34,13 @@ LEAST_STRENGTH, MOST_STRENGTH = 5.0, 1000.0
 
 
 def _classes() -> np.ndarray:
-    out = np.zeros((256, 6), np.int64)
-    out[65:91, 0] = 1
-    out[48:58, 1] = 1
-    out[[ord(c) for c in "#$%&*"], 2] = 1
-    out[ord("!"), 3] = 1
-    out[ord("|"), 4] = 1
-    out[97:123, 5] = 1
+    out = np.zeros((6, 256), np.uint8)
+    out[0, 65:91] = 1
+    out[1, 48:58] = 1
+    out[2, [ord(c) for c in "#$%&*"]] = 1
+    out[3, ord("!")] = 1
+    out[4, ord("|")] = 1
+    out[5, 97:123] = 1
     return out
 
 
@@ -46,37 +48,51 @@ _CLASSES = _classes()
 
 
 class Grams:
-    """Buckets of the words and character n-grams of a run of texts, lower-cased, with the text that each belongs to."""
+    """Words of a run of texts, and buckets of their words and character n-grams."""
 
     def __init__(self, column: pa.Array):
-        data, offsets = buffers(column)
-        words = Words(data, offsets, ASCII_SPACE, fold=True)
-        self.words = (words.hashes() >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS, words.bound
+        self.data, self.offsets = data, offsets = buffers(column)
+        self.words = Words(data, offsets, ASCII_SPACE)
+        self.hashes = self.words.hashes()
+        self.word = (self.hashes >> np.uint64(48)).astype(np.uint16)  # 16 bits
         n = max(0, len(data) - CHARS + 1)
         code = np.zeros(n, np.uint32)
         for k in range(CHARS):
-            code = code << np.uint32(8) | words.data[k : k + n]
-        bucket = (code * np.uint32(0x9E3779B1) >> np.uint32(18)).astype(np.int64)  # 14 bits
-        at = np.arange(n)
-        whole = np.searchsorted(offsets, at, "right") == np.searchsorted(offsets, at + CHARS - 1, "right")
-        self.chars = bucket[whole], np.concatenate([[0], np.cumsum(whole)])[np.minimum(offsets, n)]
+            code <<= np.uint32(8)
+            code |= FOLD[data[k : k + n]]
+        code *= np.uint32(0x9E3779B1)
+        code >>= np.uint32(18)  # 14 bits
+        self.char = code.astype(np.uint16)
+        across = np.unique((offsets[1:-1, None] - np.arange(1, CHARS)).ravel())  # n-grams that begin in one text and end in another
+        self.across = across[(across >= 0) & (across < n)]
+        self.length = np.minimum(offsets, n)
 
     def scores(self, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Mean log ratio of a text's words and of its n-grams; 0 for a text without any."""
         out = []
-        for (bucket, bound), table in zip((self.words, self.chars), tables):
-            total = np.concatenate([[0.0], np.cumsum(table[bucket])])
-            out.append((total[bound[1:]] - total[bound[:-1]]) / np.maximum(np.diff(bound), 1))
+        for bucket, bound, table, none in ((self.word, self.words.bound, tables[0], np.zeros(0, np.int64)), (self.char, self.length, tables[1], self.across)):
+            value = table[bucket]
+            value[none] = 0
+            total = np.concatenate([[0.0], np.cumsum(value)])
+            n = np.diff(bound) - np.bincount(np.searchsorted(bound, none, "right") - 1, minlength=len(bound) - 1)[: len(bound) - 1]
+            out.append((total[bound[1:]] - total[bound[:-1]]) / np.maximum(n, 1))
         return np.stack(out, axis=1)
 
     def present(self) -> tuple[np.ndarray, np.ndarray]:
         """Each text's different buckets, those of n-grams after those of words, and the texts."""
-        both = []
-        for first, (bucket, bound) in zip((0, WORD_BUCKETS), (self.words, self.chars)):
-            text = np.repeat(np.arange(len(bound) - 1), np.diff(bound))
-            both.append(np.unique(text << 32 | bucket + first))
-        both = np.concatenate(both)
-        return both & 0xFFFFFFFF, both >> 32
+        whole = np.ones(len(self.char), bool)
+        whole[self.across] = False
+        text = np.repeat(np.arange(len(self.length) - 1), np.diff(self.length))[whole]
+        both = [(self.words.text, self.word, 0), (text, self.char[whole], WORD_BUCKETS)]
+        keys = np.concatenate([_unique(t, bucket) + first for t, bucket, first in both])
+        return keys & 0xFFFFFFFF, keys >> 32
+
+
+def _unique(text: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Pairs of a text and a 16-bit bucket, each once, as text * 2^32 + bucket. Few texts make keys that sort fast."""
+    kind = np.uint32 if len(text) == 0 or int(text[-1]) < 1 << 16 else np.int64
+    found = np.unique(text.astype(kind) << kind(16) | bucket).astype(np.int64)
+    return (found >> 16) << 32 | found & 0xFFFF
 
 
 def log_ratios(seen: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,14 +102,13 @@ def log_ratios(seen: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ratio[:WORD_BUCKETS], ratio[WORD_BUCKETS:]
 
 
-def features(column: pa.Array) -> np.ndarray:
+def features(grams: Grams) -> np.ndarray:
     """A row of FEATURES for each text; a text without words has zeros."""
-    data, offsets = buffers(column)
-    words = Words(data, offsets, ASCII_SPACE)
-    h, n = words.hashes(), words.count
+    data, offsets, words = grams.data, grams.offsets, grams.words
+    h, n = grams.hashes, words.count
     total = np.zeros((len(offsets) - 1, 6))
     for k in range(6):
-        total[:, k] = np.diff(np.concatenate([[0], np.cumsum(_CLASSES[data, k])])[offsets])
+        total[:, k] = np.diff(np.concatenate([[0], np.cumsum(_CLASSES[k][data], dtype=np.int64)])[offsets])
     letters, size = np.maximum(total[:, 0] + total[:, 5], 1), np.maximum(np.diff(offsets), 1)
 
     def by_text(mask: np.ndarray) -> np.ndarray:
@@ -101,10 +116,9 @@ def features(column: pa.Array) -> np.ndarray:
 
     repeat = np.zeros(len(h), bool)
     repeat[1:] = (h[1:] == h[:-1]) & (words.text[1:] == words.text[:-1])
-    order = np.lexsort((h, words.text))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (words.text[order][1:] != words.text[order][:-1])
-    distinct = np.bincount(words.text[order][new], minlength=len(n))
+    pair = np.sort(words.text.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24))
+    pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
+    distinct = np.bincount((pair >> np.uint64(40)).astype(np.int64), minlength=len(n))
     most = np.maximum(n, 1)
     out = np.stack([total[:, 0] / letters, total[:, 1] / size, total[:, 2] / size, total[:, 3] / size, total[:, 4] / size, by_text(repeat) / most, 1 - np.minimum(1, distinct / np.maximum(1, most**0.8)), size / most / 10, np.log1p(n) / 10, by_text(words.end - words.start > 24) / most], axis=1)
     out[n == 0] = 0
@@ -144,8 +158,9 @@ class Model:
 
 def _evidence(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for step in steps(batch):
-            x = np.concatenate([features(step.column("text")), Grams(step.column("text")).scores(model.tables)], axis=1)
+        for step in steps(batch, most=FEATURE_BYTES):
+            grams = Grams(step.column("text"))
+            x = np.concatenate([features(grams), grams.scores(model.tables)], axis=1)
             keys = [c for c in step.schema.names if c != "text"]
             yield pa.record_batch([*(step.column(c) for c in keys), pa.array(model.probability(x), mask=x[:, LOG_WORDS] == 0)], [*keys, "p"])
 
@@ -153,7 +168,7 @@ def _evidence(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Re
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets by fold and label, with the number of texts that have each; bucket -1 counts the texts."""
     for batch in batches:
-        for step in steps(batch):
+        for step in steps(batch, most=FEATURE_BYTES):
             group = step.column("fold").to_numpy() * 2 + step.column("quality").to_numpy()
             bucket, text = Grams(step.column("text")).present()
             key, n = np.unique(np.concatenate([group[text].astype(np.int64) << 32 | bucket + 1, group.astype(np.int64) << 32]), return_counts=True)
@@ -163,10 +178,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _featured(batches: Iterator[pa.RecordBatch], tables: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """Features of labelled texts, with the scores by the counts of the other fold."""
     for batch in batches:
-        for step in steps(batch):
+        for step in steps(batch, most=FEATURE_BYTES):
             grams, fold = Grams(step.column("text")), step.column("fold").to_numpy()
             scores = np.where(fold[:, None] == 0, grams.scores(tables[1]), grams.scores(tables[0]))
-            x = np.concatenate([features(step.column("text")), scores], axis=1)
+            x = np.concatenate([features(grams), scores], axis=1)
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
             yield pa.record_batch([rows, step.column("quality")], ["x", "quality"])
 
@@ -185,8 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
         return None
     tables = [log_ratios(seen[2 * k : 2 * k + 2], texts[2 * k : 2 * k + 2]) for k in (0, 1)]
     table = mapped(found, lambda b: _featured(b, tables), "x array<double>, quality int").toArrow()
-    x = np.array(table.column("x").to_pylist()).reshape(table.num_rows, -1)
+    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
     weights = fit(x, table.column("quality").to_numpy().astype(float))
+    del table, x, counts
+    give_back()
     return None if weights is None else Model(weights, log_ratios(seen[:2] + seen[2:], texts[:2] + texts[2:]))
 
 

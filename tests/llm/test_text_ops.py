@@ -665,3 +665,21 @@ def test_posteriors_equal_the_formula(spark, sf):
         want = p if r.evidence is None else 1 / (1 + math.exp(-(logit(r.evidence) + logit(p) - logit(prior))))
         assert r.host_posterior == pytest.approx(h) and r.path_posterior == pytest.approx(p) and r.posterior == pytest.approx(want)
         assert r.accepted == (r.posterior >= 0.5)
+
+
+def test_grams_stay_in_their_text():
+    """Scores of a text are the same alone and among others."""
+    import pyarrow as pa
+
+    from tessella.llm.quality import CHAR_BUCKETS, WORD_BUCKETS, Grams, features
+
+    rng = np.random.default_rng(1)
+    tables = rng.random(WORD_BUCKETS), rng.random(CHAR_BUCKETS)
+    texts = ["", "a", "abc", "abcd", None, "one two  three", "ab", "Ünï " * 50, " ", "x" * 1000, "", "a b c a"]
+    together = Grams(pa.array(texts, pa.string()))
+    for k, t in enumerate(texts):
+        alone = Grams(pa.array([t], pa.string()))
+        assert alone.scores(tables)[0] == pytest.approx(together.scores(tables)[k]) and features(alone)[0] == pytest.approx(features(together)[k])
+    bucket, text = together.present()
+    for k, t in enumerate(texts):
+        assert set(bucket[text == k]) == set(Grams(pa.array([t], pa.string())).present()[0])
