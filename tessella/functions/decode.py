@@ -95,3 +95,13 @@ def trie(phrases: DataFrame, words: str) -> DataFrame:
     """prefix, next: the words that follow each prefix of a phrase; no row has a whole phrase that nothing goes on from."""
     p = phrases.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.struct(F.array_join(F.slice(F.col(words), F.lit(1), k), " ").alias("prefix"), F.element_at(F.col(words), k + 1).alias("w")))).alias("x"))
     return p.groupBy("x.prefix").agg(F.array_sort(F.collect_set("x.w")).alias("next"))
+
+
+def label_scores(contradiction: Column, entailment: Column, several: bool) -> Column:
+    """Scores of labels from their contradiction and entailment logits: softmax of entailment over all labels, or, where several can
+    hold, of each label's own two."""
+    if several:
+        return F.zip_with(contradiction, entailment, lambda c, e: 1 / (1 + F.exp(c - e)))
+    most = F.array_max(entailment)
+    total = F.aggregate(entailment, F.lit(0.0), lambda s, e: s + F.exp(e - most))
+    return F.transform(entailment, lambda e: F.exp(e - most) / total)

@@ -45,7 +45,8 @@ def batch_number(row: Column, size: int) -> Column:
 
 def hash_split(key: Column, test_share: float = 0.2, seed: int = 0) -> Column:
     """"test" or "train" by hash: the same for a key at every run and size."""
-    return F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < round(test_share * 10_000), "test").otherwise("train")
+    place = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.when(F.pmod(place, F.lit(10_000)) < round(test_share * 10_000), "test").otherwise("train")
 
 
 def concatenated(*frames: DataFrame, name: str = "origin") -> DataFrame:

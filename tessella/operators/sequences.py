@@ -113,6 +113,16 @@ def fixed_blocks(items: Column, size: int) -> Column:
     return F.transform(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>")), lambda k: F.slice(items, k * size + 1, size))
 
 
+def packed_blocks(rows: DataFrame, size: int, batch: str, order: str, words: str) -> DataFrame:
+    """batch, block, part: the words of a batch's rows, one row after another in order, in blocks of `size`; only a batch's last,
+    shorter block is dropped. A batch has a bounded number of rows."""
+    length = F.size(words)
+    start = F.sum(length).over(Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - length
+    placed = rows.withColumn("_start", start).select(batch, "_start", F.posexplode(words).alias("_i", "_w")).select(batch, (F.col("_start") + F.col("_i")).alias("_at"), "_w")
+    blocks = placed.groupBy(batch, F.floor(F.col("_at") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("_at", "_w"))).alias("_part"))
+    return blocks.where(F.size("_part") == size).select(batch, "block", F.transform("_part", lambda x: x["_w"]).alias("part"))
+
+
 def strided_chunks(items: Column, length: int, stride: int) -> Column:
     """Structs start, part: chunks that start every `stride` until one reaches the end."""
     n = F.size(items)

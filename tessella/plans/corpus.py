@@ -212,7 +212,7 @@ def round_robin(spark, d):
     return row_id(spark, d).select("doc_id", O.round_robin(F.col("row_id"), 16, 4).alias("worker"), O.batch_number(F.col("row_id"), 1000).alias("batch"))
 
 
-@query("hash_split")
+@query("hash_split", "SELECT doc_id, CASE WHEN CAST('0x' || substring(md5('0-' || doc_id), 1, 8) AS BIGINT) % 10000 < 2000 THEN 'test' ELSE 'train' END AS split FROM documents")
 def hash_split(spark, d):
     return docs(spark, d).select("doc_id", O.hash_split(F.col("doc_id")).alias("split"))
 

@@ -103,7 +103,7 @@ def n_best(spark, d):
 @query("best_spans_without_nesting")
 def best_spans_without_nesting(spark, d):
     half = lambda a: F.slice("embedding", a, 16).cast("array<double>")
-    x = table(spark, d, "embeddings").select("vec_id", F.explode(S.span_candidates(half(1), half(17), 4, 40)).alias("x")).select("vec_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), F.col("x.score").alias("score"))
+    x = table(spark, d, "embeddings").select("vec_id", F.explode(S.span_candidates(half(1), half(17), 4, 64)).alias("x")).select("vec_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"), F.col("x.score").alias("score"))
 
     def best(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return S.best_spans(pdf, 3)

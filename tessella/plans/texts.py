@@ -38,12 +38,18 @@ one("split_punctuation", r"len(regexp_extract_all(text, '[!-/:-@\[-`{-~\p{P}]|[^
 one("basic_tokens", r"len(regexp_extract_all(strip_accents(lower(text)), '[!-/:-@\[-`{-~\p{P}]|[^\s!-/:-@\[-`{-~\p{P}]+'))", lambda t: F.size(T.basic_tokens(t)).cast("long"))
 one("lower_unicode_words", "array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''), ' ')", lambda t: F.array_join(T.tokens(F.lower(t)), " "))
 one("remove_numbers", r"array_to_string(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\d|_|\*\*', '', 'g'))), chr(10))", lambda t: F.array_join(T.remove_numbers(F.split(t, "\n")), "\n"))
-one("expand_abbreviations", None, T.expand_abbreviations)
+_ABBREVIATED = "text"
+for _short, _long in T.ABBREVIATIONS:
+    _ABBREVIATED = f"regexp_replace({_ABBREVIATED}, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){_short}\\.', '\\1{_long}', 'gi')"
+one("expand_abbreviations", _ABBREVIATED, T.expand_abbreviations)
 one("strip_tags", "regexp_replace(text, '<.*?>', '', 'g')", T.strip_tags)
 one("strip_role_marks", "replace(replace(text, 'user' || chr(10) || chr(10), ''), 'assistant' || chr(10) || chr(10), '')", T.strip_role_marks)
 one("markdown_links", r"regexp_replace(text, '(https?://(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b[-a-zA-Z0-9()@:%_+.~#?&/=]*)', '[\1](\1)', 'g')", T.markdown_compatible)
 one("english_rewrite", None, lambda t: P.string_udf(E.english_normalized)(t))
-one("symbols_and_diacritics", None, T.remove_symbols_and_diacritics)
+_PLAIN = "strip_accents(text)"
+for _c, _by in T.SPECIAL_LETTERS.items():
+    _PLAIN = f"replace({_PLAIN}, '{_c}', '{_by}')"
+one("symbols_and_diacritics", rf"regexp_replace({_PLAIN}, '[\p{{M}}\p{{S}}\p{{P}}]', ' ', 'g')", T.remove_symbols_and_diacritics)
 one("word_substitution", "array_to_string(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), lambda w: CASE w WHEN 'the' THEN 'THE' WHEN 'of' THEN 'OF' ELSE w END), ' ')", lambda t: F.array_join(T.substitute_words(T.tokens(t), {"the": "THE", "of": "OF"}), " "))
 one("truncate_repetitions", None, lambda t: P.string_udf(P.truncate_repetitions)(t))
 one("digits_of_words", None, lambda t: P.string_udf(A.digits_of_words)(t))
@@ -178,15 +184,33 @@ def near_dup_lines(spark, d):
     return lines.withColumn("before", before).where(near).select("doc_id", "i")
 
 
-@query("order_pairs")
+_SEGMENTS = r"""ln AS (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)) WHERE trim(ls[i]) <> ''),
+nw AS (SELECT doc_id, i, line, len(list_filter(string_split_regex(line, '\s+'), lambda w: w <> '')) AS n FROM ln),
+pl AS (SELECT *, (sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n) // 128 AS seg FROM nw),
+wh AS (SELECT doc_id, seg, string_agg(line, ' ' ORDER BY i) AS segment FROM pl GROUP BY 1, 2),
+sg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1 AS seg_no, segment FROM wh),
+nx AS (SELECT *, lead(segment) OVER (PARTITION BY doc_id ORDER BY seg_no) AS next, CAST('0x' || substring(md5('0-' || doc_id || '-' || seg_no), 1, 8) AS BIGINT) % 2 = 1 AS coin FROM sg)"""
+
+
+@query("order_pairs", f"WITH {_SEGMENTS} SELECT doc_id, CAST(seg_no AS INT) AS seg_no, CASE WHEN coin THEN next ELSE segment END AS first, CASE WHEN coin THEN segment ELSE next END AS second, coin AS swapped FROM nx WHERE next IS NOT NULL")
 def order_pairs(spark, d):
     from ..operators.pairs import order_pairs as pairs
 
     return pairs(docs(spark, d))
 
 
-@query("next_pairs")
+@query(
+    "next_pairs",
+    f"""WITH {_SEGMENTS}, nr AS (SELECT *, row_number() OVER (ORDER BY doc_id, seg_no) - 1 AS row, next IS NULL OR coin AS random FROM nx),
+dr AS (SELECT *, CASE WHEN random THEN CAST('0x' || substring(md5('1-' || doc_id || '-' || seg_no), 1, 8) AS BIGINT) % (SELECT count(*) FROM nr) END AS other FROM nr)
+SELECT a.doc_id, CAST(a.seg_no AS INT) AS seg_no, a.segment AS first, CASE WHEN a.random THEN b.segment ELSE a.next END AS second, a.random FROM dr a LEFT JOIN dr b ON a.other = b.row WHERE NOT a.random OR b.doc_id <> a.doc_id""",
+)
 def next_pairs(spark, d):
     from ..operators.pairs import next_pairs as pairs
 
     return pairs(docs(spark, d))
+
+
+@query("byte_letters", "SELECT CAST(b AS INT) AS byte, CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 THEN chr(CAST(b AS INT)) ELSE chr(CAST(255 + count(*) FILTER (WHERE NOT (b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255)) OVER (ORDER BY b) AS INT)) END AS letter FROM range(0, 256) t(b)")
+def byte_letters(spark, d):
+    return spark.createDataFrame(sorted(P.byte_letters().items()), "byte INT, letter STRING")

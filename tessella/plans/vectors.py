@@ -192,6 +192,23 @@ def zero_shot(spark, d):
     return emb(spark, d).select("vec_id", F.round(e(1) / (e(1) + e(2)), 6).alias("entailed"))
 
 
+_ZS = "SELECT vec_id, unnest(range(0, 16)) AS label, CAST(unnest(embedding[1:32:2]) AS DOUBLE) AS c, CAST(unnest(embedding[2:32:2]) AS DOUBLE) AS e FROM embeddings"
+
+
+@query("zero_shot_labels", f"SELECT vec_id, CAST(label AS INT) AS label, round(exp(e) / sum(exp(e)) OVER (PARTITION BY vec_id), 6) AS one_of_all, round(exp(e) / (exp(c) + exp(e)), 6) AS each_alone FROM ({_ZS})")
+def zero_shot_labels(spark, d):
+    """Sixteen labels with scores for contradiction and entailment: as one of all labels, and each alone."""
+    pick = lambda k: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.element_at("embedding", 2 * i + k).cast("double"))
+    scored = emb(spark, d).select("vec_id", D.label_scores(pick(1), pick(2), False).alias("one"), D.label_scores(pick(1), pick(2), True).alias("each"))
+    return scored.select("vec_id", F.posexplode(F.arrays_zip("one", "each")).alias("label", "s")).select("vec_id", "label", F.round("s.one", 6).alias("one_of_all"), F.round("s.each", 6).alias("each_alone"))
+
+
+@query("signal_windows", "SELECT name, list_transform(range(0, 16), lambda i: round(CASE name WHEN 'boxcar' THEN 1.0 WHEN 'hamming' THEN 0.54 - 0.46 * cos(2 * pi() * i / 16) WHEN 'hann' THEN 0.5 - 0.5 * cos(2 * pi() * i / 16) ELSE pow(0.5 - 0.5 * cos(2 * pi() * i / 16), 0.85) END, 6)) AS weights FROM (SELECT unnest(['boxcar', 'hamming', 'hann', 'povey']) AS name)")
+def signal_windows(spark, d):
+    one = lambda name: spark.range(1).select(F.lit(name).alias("name"), F.transform(V.signal_window(16, name), lambda x: F.round(x, 6)).alias("weights"))
+    return one("boxcar").union(one("hamming")).union(one("hann")).union(one("povey"))
+
+
 @query("in_sequence_norm", f"SELECT vec_id, list_concat(list_transform(x, lambda v: round((v - list_avg(x)) / sqrt(list_var_pop(x) + 1e-7), 5)), [0.0, 0.0, 0.0, 0.0]) AS z FROM (SELECT vec_id, {_E}[1:60] AS x FROM embeddings)")
 def in_sequence_norm(spark, d):
     return emb(spark, d).select("vec_id", F.transform(V.standardize(F.col("embedding"), F.lit(60)), lambda x: F.round(x, 5)).alias("z"))
@@ -230,6 +247,15 @@ def fixed_blocks(spark, d):
     return words(spark, d).select("doc_id", F.posexplode(S.fixed_blocks(F.col("w"), 128)).alias("block", "p")).select("doc_id", F.col("block").cast("long").alias("block"), F.array_join("p", " ").alias("part"))
 
 
+@query("packed_blocks", f"WITH b AS (SELECT doc_id, {_W} AS w, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS batch FROM documents), s AS (SELECT batch, w, sum(len(w)) OVER (PARTITION BY batch ORDER BY doc_id) - len(w) AS start FROM b), p AS (SELECT batch, start + i AS pos, w[i + 1] AS x FROM (SELECT batch, start, w, unnest(range(0, len(w))) AS i FROM s)) SELECT batch, CAST(pos // 128 AS BIGINT) AS block, md5(string_agg(x, ' ' ORDER BY pos)) AS part FROM p GROUP BY 1, 2 HAVING count(*) = 128")
+def packed_blocks(spark, d):
+    """Batches of 1000 documents, each packed into blocks of 128 words."""
+    from ..operators.order import with_row_number
+
+    rows = with_row_number(words(spark, d), "doc_id", name="row").withColumn("batch", F.floor(F.col("row") / 1000))
+    return S.packed_blocks(rows, 128, "batch", "doc_id", "w").select("batch", "block", F.md5(F.array_join("part", " ")).alias("part"))
+
+
 @query("stride_chunks", f"SELECT doc_id, s AS start, CAST(len(w[s + 1 : s + 384]) AS BIGINT) AS n, md5(array_to_string(w[s + 1 : s + 384], ' ')) AS part FROM (SELECT doc_id, w, unnest(list_filter(range(0, len(w), 128), lambda s: s = 0 OR s - 128 + 384 < len(w))) AS s FROM (SELECT doc_id, {_W} AS w FROM documents))")
 def stride_chunks(spark, d):
     x = words(spark, d).select("doc_id", F.explode(S.strided_chunks(F.col("w"), 384, 128)).alias("c"))

@@ -110,6 +110,8 @@ def test_sinks(spark, tmp_path):
 
 
 def test_registry_and_settings():
+    from tessella.plans import catalog  # noqa: F401  it registers the queries
+
     with pytest.raises(ValueError, match="twice"):
         query("knn_ip_topk")(lambda spark, d: None)
     s = Settings({"a": {"b": 1, "c": 2}})
