@@ -100,7 +100,7 @@ def tagged_documents(spark, d):
     lines = F.array(F.concat(F.lit('<doc id="'), "n_nationkey", F.lit('">')), F.concat(F.lit("Title "), "n_name"), F.lit(""), F.concat(F.lit("first of "), "n_name"), F.lit("  "), F.lit("last"), F.lit("</doc>"))
     n = table(spark, d, "nation").select("n_nationkey", "n_name", F.posexplode(lines).alias("k", "line"))
     write_lines(n.select((F.col("n_nationkey") * 10 + F.col("k")).alias("n"), "line"), path)
-    return R.read_tagged_documents(spark, path).select(F.col("doc").cast("long").alias("doc"), "line")
+    return R.read_tagged_documents(spark, path).select(F.col("doc").cast("int").alias("doc"), "line")
 
 
 # ---------------------------------------------------------------- arrays

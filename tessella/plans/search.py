@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval
-from .registry import query, table
+from .registry import query, spread, table
 
 _DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))"
 _L2 = "list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -85,7 +85,7 @@ sc AS (SELECT item_id AS qid, doc_id AS pid, round(sum(ln(1 + (n - df + 0.5) / (
 SELECT * FROM (SELECT qid, pid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS INT) AS rank FROM sc) WHERE rank <= 5""",
 )
 def bm25_top5(spark, d):
-    return retrieval.bm25(table(spark, d, "benchmark"), table(spark, d, "documents"), 5)
+    return retrieval.bm25(table(spark, d, "benchmark"), spread(table(spark, d, "documents")), 5)
 
 
 _HITS = f"hits AS ({_top(_DOT, 50, where=_ASKED)})"

@@ -9,11 +9,11 @@ from ..functions import chat as C
 from ..functions import english as E
 from ..functions import procedural as P
 from ..functions import text as T
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def one(name, sql, fn):
@@ -156,7 +156,7 @@ def chat_views(spark, d):
 
 @query("html_nodes")
 def html_nodes(spark, d):
-    return table(spark, d, "pages").select("page_id", F.posexplode(P.html_nodes_udf()("html")).alias("pos", "n")).select("page_id", "pos", "n.node", "n.xpath")
+    return spread(table(spark, d, "pages")).select("page_id", F.posexplode(P.html_nodes_udf()("html")).alias("pos", "n")).select("page_id", "pos", "n.node", "n.xpath")
 
 
 @query("wordpiece")
