@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, license_scan, mixing
+from . import chat, license_scan, mixing, vector_codes
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .parity_join import ngram_jaccard_join
@@ -14,6 +14,8 @@ from .quality import quality_posteriors
 from .site_style import extract_main_text
 from .substring_dedup import substring_dedup
 from .token_store import new_store_path, token_digest, write_tokens
+from .toxicity import toxicity
+from .whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,18 @@ def op10_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -80,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixture": op8_source_mixture,
     "op9_token_output": op9_token_output,
     "op10_chat_perspectives": op10_chat_perspectives,
+    "op11_toxicity": op11_toxicity,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
@@ -126,4 +143,5 @@ SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM
     "op2_license_scan": license_scan.oracle(),
     "op8_source_mixture": mixing.oracle(),
     "op10_chat_perspectives": chat.SQL,
+    "op12_vector_codes": vector_codes.oracle(),
 }
