@@ -101,16 +101,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_substring_dedup": r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-pos AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20),
-win AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS k FROM pos),
-late AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
-gone AS (SELECT DISTINCT doc_id, i + o AS p FROM late, range(20) t(o)),
-one AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w WHERE len(ws) > 0),
-kept AS (SELECT one.doc_id, string_agg(x, ' ' ORDER BY p) FILTER (WHERE gone.p IS NULL) AS t, count(gone.p) AS n
-         FROM one LEFT JOIN gone USING (doc_id, p) GROUP BY 1)
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT r, doc_id, unnest(range(1, len(ws) - 18)) AS i, ws FROM w WHERE len(ws) >= 20),
+win AS (SELECT r, doc_id, i, array_to_string(ws[i : i + 19], ' ') AS k FROM pos),
+late AS (SELECT r, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, r, i) > 1),
+gone AS (SELECT DISTINCT r, i + o AS p FROM late, range(20) t(o)),
+one AS (SELECT r, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w WHERE len(ws) > 0),
+kept AS (SELECT one.r, string_agg(x, ' ' ORDER BY p) FILTER (WHERE gone.p IS NULL) AS t, count(gone.p) AS n
+         FROM one LEFT JOIN gone USING (r, p) GROUP BY 1)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM w LEFT JOIN kept USING (doc_id)""",
+FROM w LEFT JOIN kept USING (r)""",
     "op5_exact_dedup": """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
 g AS (SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, sha256(x) AS text_sha256 FROM t)

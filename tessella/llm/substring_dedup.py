@@ -4,7 +4,8 @@ maximal removal intervals.
 One pass hashes every window and sends its first place in each run of documents, packed, to the partition of
 its hash; a window that repeats inside the run is settled there, so one hot window costs one entry a run.
 The partition of a hash keeps the earliest place and sends the others, as intervals, to the partition of
-their document. A second pass sends the texts there, compressed, where the intervals are merged and cut.
+their row. A second pass sends the texts there, compressed, where the intervals are merged and cut. Rows are known by
+their place in the table, so that a null or repeated doc_id takes nothing from another row.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_SPACE, U64, Words, buffers, deltas, down, ids, mapped, mix, pack, partitions_for, scaled, steps, text_bytes, unpack, up
+from ._common import ASCII_SPACE, ROW, U64, Words, buffers, deltas, down, ids, keyed, mapped, mix, pack, partitions_for, scaled, steps, text_bytes, unpack, up
 
 #: Windows that a task gathers before it sorts and sends them.
 RUN_WINDOWS = 1_000_000
@@ -31,37 +32,37 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
 
-def _home(doc: np.ndarray, parts: int) -> np.ndarray:
-    """The partition of a document."""
-    return scaled(mix(doc.view(U64), 7), parts)
+def _home(row: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of a row."""
+    return scaled(mix(row.view(U64), 7), parts)
 
 
-def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window starts, sorted by document and place, as maximal (document, first start, last start)."""
-    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]]) - 1
-    return doc[first], pos[first], pos[last]
+def _runs(row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window starts, sorted by row and place, as maximal (row, first start, last start)."""
+    cut = np.flatnonzero((row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)) + 1
+    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(row)]]) - 1
+    return row[first], pos[first], pos[last]
 
 
-def _spans(doc: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
-    if not len(doc):
+def _spans(row: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    if not len(row):
         return
-    order = np.lexsort((pos, doc))
-    doc, first, last = _runs(doc[order], pos[order])
-    home = _home(doc, parts)
+    order = np.lexsort((pos, row))
+    row, first, last = _runs(row[order], pos[order])
+    home = _home(row, parts)
     order = np.argsort(home, kind="stable")
     home = home[order]
     for sel in np.split(order, np.flatnonzero(home[1:] != home[:-1]) + 1):
-        low, far = up(doc[sel])
-        yield int(_home(doc[sel[:1]], parts)[0]), SPANS, np.int64(low).tobytes() + pack(far, first[sel], last[sel] - first[sel])
+        low, far = up(row[sel])
+        yield int(_home(row[sel[:1]], parts)[0]), SPANS, np.int64(low).tobytes() + pack(far, first[sel], last[sel] - first[sel])
 
 
-def _later(doc: np.ndarray, pos: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Entries, sorted by group, that are not the earliest place of their group."""
-    order = np.lexsort((pos, doc, group))
+def _later(doc: np.ndarray, row: np.ndarray, pos: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Entries, sorted by group, that are not the earliest place of their group: by doc_id, then row, then start."""
+    order = np.lexsort((pos, row, doc, group))
     head = np.concatenate([[True], group[order][1:] != group[order][:-1]])
     at = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    return order[(doc[order] != doc[at]) | (pos[order] != pos[at])]
+    return order[(row[order] != row[at]) | (pos[order] != pos[at])]
 
 
 def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,30 +72,30 @@ def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, same[1:] | same[:-1]
 
 
-def _flush(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _flush(key: np.ndarray, doc: np.ndarray, row: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     order, again = _repeats(key)
     keep = np.ones(len(key), bool)
     if again.any():
         sel = order[again]
-        late = sel[_later(doc[sel], pos[sel], key[sel])]
+        late = sel[_later(doc[sel], row[sel], pos[sel], key[sel])]
         keep[late] = False
-        rows = list(_spans(doc[late], pos[late], parts))
+        rows = list(_spans(row[late], pos[late], parts))
         if rows:
             yield _rows(rows)
     order = order[keep[order]]
-    key, doc, pos = key[order], doc[order], pos[order]
+    key, doc, row, pos = key[order], doc[order], row[order], pos[order]
     cuts = np.searchsorted(scaled(key, parts), np.arange(parts + 1))
     rows = []
     for p in np.flatnonzero(np.diff(cuts)):
         s = slice(cuts[p], cuts[p + 1])
-        low, far = up(doc[s])
-        rows.append((int(p), WINDOWS, np.int64(low).tobytes() + pack(deltas(key[s]), far, pos[s])))
+        (low, far), (row_low, row_far) = up(doc[s]), up(row[s])
+        rows.append((int(p), WINDOWS, np.array([low, row_low], np.int64).tobytes() + pack(deltas(key[s]), far, row_far, pos[s])))
     if rows:
         yield _rows(rows)
 
 
 def _hash_windows(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     n = 0
     for batch in batches:
         for step in steps(batch):
@@ -102,7 +103,7 @@ def _hash_windows(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> I
             h = words.windows(words.hashes(), size)
             whole = np.flatnonzero(words.text[: len(h)] == words.text[size - 1 :][: len(h)])
             text = words.text[whole]
-            held.append((h[whole], ids(step.column("doc_id"))[text], whole - words.bound[text]))
+            held.append((h[whole], ids(step.column("doc_id"))[text], ids(step.column(ROW))[text], whole - words.bound[text]))
             n += len(whole)
             if n >= RUN_WINDOWS:
                 yield from _flush(*map(np.concatenate, zip(*held)), parts)
@@ -113,15 +114,17 @@ def _hash_windows(batches: Iterator[pa.RecordBatch], size: int, parts: int) -> I
 
 def _settle(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """All entries of some hashes: later places go on as intervals."""
-    keys, docs, places = [], [], []
+    keys, docs, own, places = [], [], [], []
     for batch in batches:
         for part, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
             if kind == SPANS:
                 yield _rows([(part, kind, blob)])
                 continue
-            key, far, pos = unpack(blob[8:])
+            key, far, row_far, pos = unpack(blob[16:])
+            low, row_low = np.frombuffer(blob, np.int64, 2).tolist()
             keys.append(np.cumsum(key, dtype=U64))
-            docs.append(down(int(np.frombuffer(blob, np.int64, 1)[0]), far))
+            docs.append(down(low, far))
+            own.append(down(row_low, row_far))
             places.append(pos.astype(np.int32))
     if keys:
         key = np.concatenate(keys)
@@ -129,9 +132,9 @@ def _settle(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
         order, again = _repeats(key)
         sel = order[again]
         if len(sel):
-            doc, pos = np.concatenate(docs)[sel], np.concatenate(places)[sel].astype(np.int64)
-            late = _later(doc, pos, key[sel])
-            rows = list(_spans(doc[late], pos[late], parts))
+            doc, row, pos = np.concatenate(docs)[sel], np.concatenate(own)[sel], np.concatenate(places)[sel].astype(np.int64)
+            late = _later(doc, row, pos, key[sel])
+            rows = list(_spans(row[late], pos[late], parts))
             if rows:
                 yield _rows(rows)
 
@@ -142,7 +145,7 @@ def _send_texts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
 
     def flush() -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        home = _home(ids(table.column("doc_id").combine_chunks()), parts)
+        home = _home(ids(table.column(ROW).combine_chunks()), parts)
         order = np.argsort(home, kind="stable")
         rows = []
         for sel in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
@@ -165,33 +168,33 @@ def _send_texts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int, texts: bool) -> Iterator[pa.RecordBatch]:
-    """Texts and intervals of some documents, to what is left of each."""
-    blobs, docs, firsts, lasts = [], [], [], []
+    """Texts and intervals of some rows, to what is left of each."""
+    blobs, rows, firsts, lasts = [], [], [], []
     for batch in batches:
         for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist()):
             if kind == TEXTS:
                 blobs.append(blob)
             else:
                 far, first, more = unpack(blob[8:])
-                docs.append(down(int(np.frombuffer(blob, np.int64, 1)[0]), far))
+                rows.append(down(int(np.frombuffer(blob, np.int64, 1)[0]), far))
                 firsts.append(first.astype(np.int64))
                 lasts.append((first + more).astype(np.int64))
-    doc, first, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, firsts, lasts))
-    order = np.argsort(doc, kind="stable")
-    doc, first, last = doc[order], first[order], last[order]
+    row, first, last = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, firsts, lasts))
+    order = np.argsort(row, kind="stable")
+    row, first, last = row[order], first[order], last[order]
     for blob in blobs:
         with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as r:
             table = r.read_all().combine_chunks()
         for step in table.to_batches():
-            yield from _cut_step(step, doc, first, last, size, texts)
+            yield from _cut_step(step, row, first, last, size, texts)
 
 
-def _cut_step(step: pa.RecordBatch, doc: np.ndarray, first: np.ndarray, last: np.ndarray, size: int, texts: bool) -> Iterator[pa.RecordBatch]:
+def _cut_step(step: pa.RecordBatch, row: np.ndarray, first: np.ndarray, last: np.ndarray, size: int, texts: bool) -> Iterator[pa.RecordBatch]:
     for batch in steps(step):
-        own = ids(batch.column("doc_id"))
+        own = ids(batch.column(ROW))
         data, offsets = buffers(batch.column("text"))
         words = Words(data, offsets, ASCII_SPACE)
-        lo, hi = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right")
+        lo, hi = np.searchsorted(row, own, "left"), np.searchsorted(row, own, "right")
         n = hi - lo
         text = np.repeat(np.arange(len(own)), n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
@@ -226,11 +229,11 @@ def substring_dedup(docs: DataFrame, size: int = 20, texts: bool = True, id_col:
     Words are runs of anything but ASCII white space. A word goes when a window of `size` words over it has
     the same words as a window that starts earlier (smaller doc_id, or earlier in the same document); windows
     are those of the input. Null texts and texts without words give counts of 0 and an empty rest. A null
-    doc_id sorts first. Rows that repeat a doc_id are the same document: none is earlier than the other. Other columns
-    are ignored; no rows give no rows. Windows are told apart by 64-bit hashes.
+    doc_id sorts first. Rows that share a doc_id, or have none, are rows of their own, and the one that stands first in the
+    table is the earlier. Other columns are ignored; no rows give no rows. Windows are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select(ROW, "doc_id", "text")
     parts = partitions_for(spark, text_bytes(base))
     windows = mapped(base, lambda b: _hash_windows(b, size, parts), ROUTED).repartitionById(parts, "part")
     spans = mapped(windows, lambda b: _settle(b, parts), ROUTED)

@@ -16,12 +16,12 @@ def sha(text):
 
 def substring_dedup(rows, size=20):
     seen, out = {}, []
-    for i, text in sorted(rows, key=lambda r: r[0]):
+    for row, (i, text) in sorted(enumerate(rows), key=lambda r: (r[1][0] is not None, r[1][0] or 0, r[0])):
         words = SPACED.findall(text or "")
         gone = [False] * len(words)
         for k in range(len(words) - size + 1):
             key = tuple(words[k : k + size])
-            if seen.setdefault(key, (i, k)) != (i, k):
+            if seen.setdefault(key, (row, k)) != (row, k):
                 gone[k : k + size] = [True] * size
         kept = " ".join(w for w, g in zip(words, gone) if not g)
         out.append((i, len(words), sum(gone), sha(kept), kept))
