@@ -187,10 +187,13 @@ def _featured(batches: Iterator[pa.RecordBatch], tables: list[tuple[np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """A model of at most `rows` labelled documents; rows without an id, text or label are left out. None unless both labels are there."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    """A model of at most `rows` labelled documents; rows without an id, a text or a label of 0 or 1 are left out, and of rows that share an
+    id the one that stands first in the table is taken. None unless both labels are there."""
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `rows` ids and labels
+    texts = (docs if ROW in docs.columns else keyed(docs)).where("doc_id is not null and text is not null")
+    first = texts.select("doc_id", ROW).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(ROW).alias(ROW), F.first("quality").alias("quality"))  # at most `rows`, as `chosen` has
+    found = texts.select(ROW, "text").join(F.broadcast(first), ROW)
     found = stored(found.select("text", "quality", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold")), "quality-labelled")
     counts = mapped(found, _counted, "cell int, bucket int, n long").groupBy("cell", "bucket").agg(F.sum("n").alias("n")).toArrow()  # a row for each cell and bucket at most
     seen = np.zeros((4, WORD_BUCKETS + CHAR_BUCKETS + 1))
@@ -225,7 +228,7 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, host_col: str = "sour
 
     Host and path are columns that say where a document is from; where a corpus has no URLs, its language can stand for the path, as the
     defaults have it. A text that is null or has no words brings no evidence: it takes its path's posterior. Null hosts and paths are groups of
-    their own. Labels that are null or repeated count once, the higher of two. Without labels of both classes every
+    their own. Labels other than 0 and 1 are left out; repeated ones count once, the higher of two. Without labels of both classes every
     document is accepted, with posterior 1. Other columns are ignored; no rows give no rows.
     """
     return _posteriors(docs, labels, host_col, path_col, train_rows, [])
