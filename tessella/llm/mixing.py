@@ -23,7 +23,8 @@ BUCKET_DOCS = 4096
 
 @dataclass(frozen=True)
 class Mixture:
-    """Relative weights by node name at each level (others: `other`), the share of all tokens to draw, epochs at most, seed."""
+    """Relative weights by node name at each level (others: `other`), the share of all tokens to draw, epochs at most, seed. A weight
+    of 0 leaves a node out: its siblings share what it would have had. Negative weights are a ValueError."""
 
     domain: dict[str, float] = field(default_factory=lambda: {"d0": 4.0, "d1": 3.0, "d2": 2.0})
     lang: dict[str, float] = field(default_factory=lambda: {"en": 5.0, "de": 2.0, "fr": 2.0})
@@ -33,6 +34,10 @@ class Mixture:
     epochs: int = 3
     seed: int = 42
 
+    def __post_init__(self):
+        if any(not w >= 0 for w in [self.other, *self.domain.values(), *self.lang.values(), *self.source.values()]):
+            raise ValueError("weights are 0 or more")
+
 
 def domain_of(source: str = "source") -> Column:
     """Sources in domains of five by their number: a stand-in where a corpus names no domain."""
@@ -55,9 +60,9 @@ def _filled(children: DataFrame, group: list[str], most: Column, node: list[str]
     plus level times the weight of the others, so the level is the largest of the levels that these give.
     """
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    order = w.orderBy(F.col("cap") / F.col("weight"), *node).rowsBetween(Window.unboundedPreceding, -1)
+    order = w.orderBy(F.try_divide("cap", "weight"), *node)  # nodes of weight 0 have a cap of 0 and come first.rowsBetween(Window.unboundedPreceding, -1)
     before, heavy = F.coalesce(F.sum("cap").over(order), F.lit(0)), F.sum("weight").over(w) - F.coalesce(F.sum("weight").over(order), F.lit(0.0))
-    stepped = children.withColumn("most", F.least(most, F.sum("cap").over(w))).withColumn("step", (F.col("most") - before) / heavy)
+    stepped = children.withColumn("most", F.least(most, F.sum("cap").over(w))).withColumn("step", F.try_divide(F.col("most") - before, heavy))
     level = F.max("step").over(w)
     return stepped.withColumn("budget", F.least(F.col("cap").cast("double"), F.col("weight") * level)).drop("most", "step")
 
@@ -65,7 +70,7 @@ def _filled(children: DataFrame, group: list[str], most: Column, node: list[str]
 def leaf_budgets(counted: DataFrame, mix: Mixture) -> DataFrame:
     """domain, lang, source, docs, tokens, budget of every leaf. counted: a row for each document with its n."""
     leaves = counted.groupBy(*LEVELS).agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
-    leaves = stored(leaves.where("tokens > 0").withColumn("cap", F.col("tokens") * mix.epochs), "mixing-leaves")
+    leaves = stored(leaves.where("tokens > 0").withColumn("cap", F.when(F.least(*[_weight(mix, k) for k in LEVELS]) > 0, F.col("tokens") * mix.epochs).otherwise(0)), "mixing-leaves")
     total = F.lit(float((leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) * mix.share))
     budget = None
     for k in range(1, 4):
