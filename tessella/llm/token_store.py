@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import buffers, mapped, partitions_for, shared_dir, steps, text_bytes
+from ._common import ROW, buffers, keyed, mapped, partitions_for, shared_dir, steps, text_bytes
 from .token_encoder import Encoder
 
 END_ID = 1
@@ -63,13 +63,14 @@ class TokenStore:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, keep: tuple[str, ...] = ()) -> TokenStore:
     """Encode every whole text, append end_id, and write the store in ascending doc_id order.
 
-    A null text is empty: only the end id. A null doc_id comes first. Rows that repeat a doc_id follow one
-    another in no fixed order. `keep` names other columns to store with the tokens. No rows give an empty store.
+    A null text is empty: only the end id. A null doc_id comes first. Rows that share a doc_id, or have none, follow one
+    another as they stand in the table. `keep` names other columns to store with the tokens. No rows give an empty store.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    base = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep))
     parts = partitions_for(spark, text_bytes(base))
-    placed = base.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.col(ROW).asc()]  # the row splits ids that many rows share
+    placed = base.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     kept = ["doc_id", *keep]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in placed.select(*kept).schema) + "n_tokens long, tokens array<int>"
     rows = mapped(placed.select("doc_id", "text", *keep), lambda b: _tokenize(b, tokenizer_path, end_id, kept), schema)
