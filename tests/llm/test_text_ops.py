@@ -475,8 +475,11 @@ def tree_by_hand(pages):
     shown = defaultdict(Counter)
     for url, html in pages:
         page = Page(html)
-        blocks = [(b[0], b[1]) for b in page.blocks if not b[2]]
-        layouts = [(e.style, "".join(e.children)) for e in page.elements if not e.dropped]
+        paths = {0: ""}
+        for e in page.elements:  # an element comes after those around it
+            paths[e.style] = paths[e.parent] + e.label
+        blocks = [(paths[b[0]], b[1]) for b in page.blocks if not b[2]]
+        layouts = [(paths[e.style], "".join(e.children)) for e in page.elements if not e.dropped]
         mark = (host(url), tuple(sorted(blocks)), tuple(sorted(layouts)))
         if mark in seen:
             continue
@@ -517,9 +520,13 @@ def test_style_tree_equals_its_definition(spark):
         pages.append((f"http://h{k % 2}.example/{k}", f"<body><div class=top><b>Our site</b><ul class=crumbs>{crumbs}</ul></div><div class=mid><div class=in>{text}</div><div class=plug><p>Get our app</p></div></div><div class=end>Bye</div>"))
     pages += pages[:20] + [("http://few.example/", "<p>one</p>"), (None, None)]
     df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
-    got = {}
-    for r in low_branches(style_tree(parsed_pages(df))).collect():
-        got.setdefault(r.host, set()).add(r.style)
+    paths, got = {}, {}
+    for _, html in pages:
+        for e in Page(html or "").elements:
+            paths[e.style] = paths.get(e.parent, "") + e.label
+    for r in low_branches(style_tree(parsed_pages(df)))[0].collect():
+        got.setdefault(r.host, set()).add(paths.get(r.style, ""))
+    got = {site: s - {""} for site, s in got.items() if s - {""}}
     assert got == {site: s for site, s in tree_by_hand([(u, h or "") for u, h in pages]).items() if s}
     assert got["h0.example"] >= {"/body/div.top", "/body/div.end", "/body/div.mid/div.plug"}
     out = {r.page_id: r.text for r in extract_main_text(df).collect()}
@@ -534,6 +541,53 @@ def test_long_and_repeated_pages(spark):
     assert sorted((r.page_id or 0, r.n_chars) for r in out) == [(0, 1), (0, 1), (1, len(Page(long).text())), (1, len(Page(long).text()))]
 
 
+def test_deep_pages_take_linear_time(spark):
+    """Unclosed elements: 100,000 levels, with ends that match nothing and paragraphs that end at once."""
+    import time
+
+    began = time.perf_counter()
+    page = Page("<div>" * 100_000 + "<p>text" + "</section></b>" * 100_000)
+    assert [b[1] for b in page.blocks] == ["text"] and page.elements[-1].depth == 100_001
+    assert len(Page("<p>x<b>" * 50_000).blocks) == 50_000 and len(Page("<ul>" + "<li>x<i>" * 50_000).blocks) == 50_000
+    assert time.perf_counter() - began < 20
+    rows = [(k, "http://deep.example/", "<div>" * 3000 + f"<p>deep {k}") for k in range(3)] + [(9, "http://deep.example/x", "<p>flat")]
+    out = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {0: "deep 0", 1: "deep 1", 2: "deep 2", 9: "flat"}
+
+
+def test_lifted_importance_and_marks_equal_a_walk(spark):
+    """Trees of any shape: chains, stars, random ones."""
+    from tessella.llm.site_style import Lifted
+
+    rng = np.random.default_rng(4)
+    up = {1: 0} | {k: k - 1 for k in range(2, 38)} | {k: int(rng.integers(0, k)) for k in range(38, 120)}
+    depth = {0: 0}
+    for k in up:
+        depth[k] = depth[up[k]] + 1
+    value = {k: float(rng.random()) if rng.random() < 0.8 else None for k in depth}
+    rows = [("h", k, up.get(k), depth[k], value[k]) for k in depth] + [("other", 1, 0, 1, 0.5)]
+    lifted = Lifted(spark.createDataFrame(rows, "host string, style long, parent long, depth int, importance double"))
+
+    def chain(k):
+        while k:
+            yield k
+            k = up[k]
+
+    most, marks = {}, {k: bool(rng.random() < 0.5) for k in depth if k and rng.random() < 0.2}
+    for k in depth:
+        for a in list(chain(k)) or [0]:
+            most[a] = max([x for x in (most.get(a), value[k]) if x is not None], default=None)
+    assert {r.style: r.importance for r in lifted.importance.where("host = 'h'").collect()} == most
+    got = lifted.spread(spark.createDataFrame([("h", k, m) for k, m in marks.items()], "host string, style long, inside boolean"), "inside")
+    want = {k: max(marks[a] for a in chain(k) if a in marks) for k in depth if any(a in marks for a in chain(k))}
+    assert {r.style: r.inside for r in got.collect()} == want
+
+
+def test_formulas_and_labels_stay_in_an_article():
+    page = "<body><label>Mail</label><article><p>Let <math><mi>x</mi></math> be <label>two</label> of three.</p></article></body>"
+    assert Page(page).text() == "Let x be two of three."
+
+
 def test_decontamination_of_common_words_in_steps(spark, monkeypatch):
     """Windows of words that stand everywhere, some within others, in as many steps as there are places."""
     import tessella.llm.decontaminate as module
@@ -683,3 +737,44 @@ def test_grams_stay_in_their_text():
     bucket, text = together.present()
     for k, t in enumerate(texts):
         assert set(bucket[text == k]) == set(Grams(pa.array([t], pa.string())).present()[0])
+
+
+def test_quality_is_fitted_on_a_bounded_number_of_rows(spark, sf):
+    """Ids that many rows share, and labels other than 0 and 1."""
+    from tessella.llm.quality import train
+
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(40).collect()]
+    docs = spark.createDataFrame([(k % 2, texts[k % 40] + f" {k}") for k in range(600)] + [(5, "x y"), (6, "z")], DOCS)
+    labels = spark.createDataFrame([(0, 0), (1, 1), (5, 2), (6, -1), (None, 1)], "doc_id long, quality int")
+    seen = []
+    import tessella.llm.quality as module
+
+    kept, module.fit = module.fit, lambda x, y: seen.append(y.tolist()) or kept(x, y)
+    try:
+        train(docs, labels, rows=2)
+    finally:
+        module.fit = kept
+    assert [sorted(y) for y in seen] == [[0.0, 1.0]]
+
+
+def test_a_weight_of_zero_leaves_a_node_out(spark):
+    docs = spark.createDataFrame([(k, "a b c d", ("en", "de")[k % 2], f"s{k % 3}") for k in range(60)], "doc_id long, text string, lang string, source string")
+    got = mixing.mix_sources(docs, mixing.Mixture(domain={}, lang={"en": 0.0, "de": 1.0}, source={"s1": 0.0})).collect()
+    assert len(got) == 60 and not any(r.take_tokens for r in got if r.lang == "en" or r.source == "s1")
+    assert sum(r.take_tokens for r in got) == 120  # half of all tokens, from what is left
+    none = mixing.mix_sources(docs, mixing.Mixture(domain={}, lang={"en": 0.0, "de": 0.0})).collect()
+    assert len(none) == 60 and not any(r.take_tokens for r in none)
+    with pytest.raises(ValueError):
+        mixing.Mixture(lang={"en": -1.0})
+
+
+def test_token_rows_that_share_an_id_follow_the_table(spark, tmp_path):
+    rows = [(7, "one two three"), (None, "null first"), (7, "one"), (7, None), (3, "x"), (None, "y")]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    docs = spark.read.parquet(str(tmp_path / "rows"))
+    got = token_digest(write_tokens(docs, new_store_path(spark), queries.tokenizer_path())).orderBy("start").collect()
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(queries.tokenizer_path())
+    want = [(i, len(encode.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
+    assert [(r.doc_id, r.n_tokens) for r in got] == want
