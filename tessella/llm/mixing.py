@@ -60,7 +60,7 @@ def _filled(children: DataFrame, group: list[str], most: Column, node: list[str]
     plus level times the weight of the others, so the level is the largest of the levels that these give.
     """
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    order = w.orderBy(F.try_divide("cap", "weight"), *node)  # nodes of weight 0 have a cap of 0 and come first.rowsBetween(Window.unboundedPreceding, -1)
+    order = w.orderBy(F.try_divide("cap", "weight"), *node).rowsBetween(Window.unboundedPreceding, -1)  # nodes of weight 0, and so a cap of 0, come first
     before, heavy = F.coalesce(F.sum("cap").over(order), F.lit(0)), F.sum("weight").over(w) - F.coalesce(F.sum("weight").over(order), F.lit(0.0))
     stepped = children.withColumn("most", F.least(most, F.sum("cap").over(w))).withColumn("step", F.try_divide(F.col("most") - before, heavy))
     level = F.max("step").over(w)
