@@ -1,5 +1,8 @@
-"""Numbers in words and words in numbers, each by one grammar: a lexicon of number words that a reader folds into digits,
-and one pattern of written amounts that a speaker puts into words.
+"""Numbers in words and words in numbers, each by one grammar.
+
+To read numbers, every word becomes one letter that says what kind of word it is; a pattern over those letters finds the amounts
+(a sign, a number, a unit); the words of each are evaluated and written once. To speak them, one pattern of written amounts is put
+into words.
 """
 
 from __future__ import annotations
@@ -30,172 +33,181 @@ SPOKEN_CURRENCIES = {
 
 @dataclass(frozen=True)
 class Word:
-    """What a number word does: add a number below a hundred, multiply by a scale, ... ; a suffix (s, th, ...) ends the number."""
+    """A number word. kind: Z nought, U 1 to 9, E 10 to 19, T tens, S a scale, o a small number and s a scale that end a number by their suffix,
+    N a figure, M a figure with its sign, + a sign, $ a currency, % percent, / per, & and, 2 double or triple, . point, w any other."""
 
     kind: str
     number: int = 0
-    suffix: str = ""
-    sign: str = ""
+    text: str = ""
 
 
 def _lexicon() -> dict[str, Word]:
-    out = {w: Word("nought") for w in ("o", "oh", "zero")} | {"zeroth": Word("add", 0, "th")}
+    out = {w: Word("Z") for w in ("o", "oh", "zero")} | {"zeroth": Word("o", 0, "th")}
     for n, w in [*enumerate(ONES)][1:] + [(10 * n, w) for n, w in enumerate(TENS) if w]:
         regular = w[:-1] + "ieth" if w.endswith("y") else w + ("h" if w.endswith("t") else "th")
-        out[w] = Word("add", n)
-        out["sixes" if w == "six" else w[:-1] + "ies" if w.endswith("y") else w + "s"] = Word("add", n, "s")
-        out[ORDINALS[w] if w in ("one", "two", "three", "five", "twelve") else regular] = Word("add", n, ENDINGS.get(n, "th"))
+        out[w] = Word("U" if n < 10 else "E" if n < 20 else "T", n)
+        out["sixes" if w == "six" else w[:-1] + "ies" if w.endswith("y") else w + "s"] = Word("o", n, "s")
+        out[ORDINALS[w] if w in ("one", "two", "three", "five", "twelve") else regular] = Word("o", n, ENDINGS.get(n, "th"))
     for n, w in [(100, "hundred"), *((1000**k, w) for k, w in enumerate(SCALES) if w)]:
-        out |= {w: Word("times", n), w + "s": Word("times", n, "s"), w + "th": Word("times", n, "th")}
-    out |= {w: Word("sign", sign=s) for w, s in SIGNS.items()} | {w: Word("currency", sign=s) for w, s in CURRENCIES.items()}
-    return out | {w: Word(w) for w in ("per", "percent", "and", "double", "triple", "point")}
+        out |= {w: Word("S", n), w + "s": Word("s", n, "s"), w + "th": Word("s", n, "th")}
+    out |= {w: Word("+", text=sign) for w, sign in SIGNS.items()} | {w: Word("$", text=sign) for w, sign in CURRENCIES.items()}
+    return out | {"per": Word("/"), "percent": Word("%"), "and": Word("&"), "double": Word("2", 2), "triple": Word("2", 3), "point": Word(".")}
 
 
 LEXICON = _lexicon()
-_DECIMALS = frozenset(w for w, x in LEXICON.items() if x.kind in ("add", "nought") and not x.suffix)
 #: Longer runs of figures are words like any other.
 LONGEST = 300
-_FIGURE = re.compile(rf"[-+£€$¢]?([0-9]{{1,{LONGEST}}}(?:\.[0-9]{{1,{LONGEST}}})?)")
-_BARE = re.compile(rf"[0-9]{{1,{LONGEST}}}(\.[0-9]{{1,{LONGEST}}})?")
-
-
-class Reader:
-    """Folds words into numbers. `value` is an integer while words add up, and text once figures are read out one after another."""
-
-    def __init__(self, words: list[str]):
-        self.words, self.value, self.sign, self.out = words, None, "", []
-
-    def say(self, text: object) -> None:
-        """Put out a word, or a number with the sign or currency that waits for it."""
-        self.out.append(self.sign + str(text))
-        self.value, self.sign = None, ""
-
-    def close(self) -> None:
-        if self.value is not None:
-            self.say(self.value)
-
-    def word_at(self, i: int) -> Word | None:
-        return LEXICON.get(self.words[i]) if 0 <= i < len(self.words) else None
-
-    def numeric_at(self, i: int) -> bool:
-        return 0 <= i < len(self.words) and (self.words[i] in LEXICON or _BARE.fullmatch(self.words[i]) is not None)
-
-    def joined(self, n: int, before: Word | None) -> int | str:
-        """The value with a number below a hundred after it: added where it has room, else written behind."""
-        room = 10 if n < 10 else 100
-        after = before.number if before and before.kind == "add" and not before.suffix else 0
-        if self.value is None:
-            return n
-        text = isinstance(self.value, str) or 0 < after < 20 and n < 20
-        if not text and self.value % room == 0:
-            return self.value + n
-        if text and after >= 20 and n < 10:
-            return str(self.value)[:-1] + str(n)
-        return str(self.value) + str(n)
-
-    def scaled(self, by: int, suffix: str) -> None:
-        if isinstance(self.value, str) or self.value == 0:  # "2.5 million"
-            product = Fraction(self.value) * by if _BARE.fullmatch(str(self.value)) else Fraction(1, 2)
-            if product.denominator == 1:
-                self.value = int(product)
-            else:
-                self.say(self.value)
-                self.value = by
+_FIGURE = re.compile(rf"([-+£€$¢]?)([0-9]{{1,{LONGEST}}}(?:\.[0-9]{{1,{LONGEST}}})?)")
+#: A number is a run of number words, an "and" after a scale, a point; a word with a suffix ends it. A point or a sign before a number word of
+#: any kind is part of what follows; the last of several signs counts, and one without a number goes to the word behind it.
+_AMOUNT = re.compile(
+    r"(?P<sign>(?:\+(?=[^wM]))*)(?:(?P<number>[os]|(?:[NM]|[ZUETS]|2[ZUE]|\.(?=[^wM]))(?:[ZUETS]|2[ZUE]|(?<=S)&(?=[^wM])|\.(?=[^wM])|(?<=\.)N)*[os]?)"
+    r"(?P<unit>(?<![os])(?:%|/\$|\$))?|(?<=\+)(?P<word>[^wM+]))"
+)
+
+
+def _word(text: str) -> Word:
+    figure = _FIGURE.fullmatch(text)
+    if figure:
+        return Word("M" if figure[1] else "N", text=text)
+    return LEXICON.get(text, Word("w", text=text))
+
+
+class Number:
+    """A number as its figures so far. `room` is how many of the last figures a small number may fill: the noughts of "twenty" or "two hundred";
+    one that does not fit is written behind, as in "nineteen eighty four". spelled: figures were written one after another."""
+
+    def __init__(self):
+        self.figures, self.room, self.spelled = "", 0, False
+
+    def whole(self, n: int) -> None:
+        self.figures, self.spelled = str(n), False
+        self.room = len(self.figures) - len(self.figures.rstrip("0")) if n else 2
+
+    def figure(self, text: str) -> None:
+        value = Fraction(text)
+        if self.figures:  # decimals, or parts of an address
+            self.write(text)
+        elif value.denominator == 1:
+            self.whole(int(value))
         else:
-            self.value = by if self.value is None else self.value // 1000 * 1000 + self.value % 1000 * by
-        if suffix:
-            self.say(f"{self.value}{suffix}")
-
-    def figure(self, word: str, number: str) -> None:
-        if isinstance(self.value, str) and self.value.endswith("."):  # decimals, or parts of an address
-            self.value += word
-            return
-        self.close()
-        if word != number:
-            self.sign = word[0]
-        self.value = int(Fraction(number)) if Fraction(number).denominator == 1 else number
-
-    def read(self) -> list[str]:
-        skip = 0
-        for i, word in enumerate(self.words):
-            if skip:
-                skip -= 1
-                continue
-            figure, x = _FIGURE.fullmatch(word), LEXICON.get(word)
-            if figure:
-                self.figure(word, figure[1])
-            elif x is None:
-                self.close()
-                self.say(word)
-            elif x.kind == "nought":
-                self.value = str(self.value or "") + "0"
-            elif x.kind == "add":
-                self.value = self.joined(x.number, self.word_at(i - 1))
-                if x.suffix:
-                    self.say(f"{self.value}{x.suffix}")
-            elif x.kind == "times":
-                self.scaled(x.number, x.suffix)
-            elif x.kind == "sign":
-                self.close()
-                if self.numeric_at(i + 1):
-                    self.sign = x.sign
-                else:
-                    self.say(word)
-            elif x.kind == "currency" and self.value is not None:
-                self.sign = x.sign
-                self.close()
-            elif x.kind == "percent" and self.value is not None:
-                self.say(f"{self.value}%")
-            elif x.kind == "per" and self.value is not None and self.words[i + 1 : i + 2] == ["cent"]:
-                self.say(f"{self.value}%")
-                skip = 1
-            elif x.kind == "and" and self.numeric_at(i + 1) and (b := self.word_at(i - 1)) and b.kind == "times" and not b.suffix:
-                continue  # "two hundred and five"
-            elif x.kind in ("double", "triple") and (b := self.word_at(i + 1)) and (b.kind == "nought" or b.kind == "add" and not b.suffix and b.number < 20):
-                self.value = str(self.value or "") + str(b.number) * (2 if x.kind == "double" else 3)
-                skip = 1
-            elif x.kind == "point" and self.numeric_at(i + 1):
-                if self.words[i + 1] in _DECIMALS or self.words[i + 1] not in LEXICON:
-                    self.value = str(self.value or "") + "."
+            self.write(text)
+
+    def write(self, figures: str) -> None:
+        self.figures, self.room, self.spelled = self.figures + figures, 0, True
+
+    def small(self, n: int) -> None:
+        """A number below a hundred."""
+        text, was_empty, spelled, room = str(n), not self.figures, self.spelled, self.room
+        if not was_empty and len(text) <= room:
+            self.figures = self.figures[: -len(text)] + text
+        else:
+            self.write(text)
+            self.spelled = spelled or not was_empty
+        self.room = 1 if n >= 20 and n % 10 == 0 else 0
+
+    def times(self, by: int) -> str | None:
+        """Multiplies by a scale: all of what was spelled out ("2.5 million"), else the last group of three. Where nothing whole comes of it the
+        figures so far are a number of their own, which is returned, and the scale begins the next."""
+        before = self.figures
+        if not before:
+            self.whole(by)
+        elif self.spelled or before == "0":
+            product = Fraction(before) * by if _FIGURE.fullmatch(before) else Fraction(1, 2)
+            if product.denominator > 1:
+                self.whole(by)
+                return before
+            self.whole(int(product))
+        else:
+            self.whole(int((before[:-3] or "0") + "000") + int(before[-3:]) * by)
+        return None
+
+
+def _evaluated(words: list[Word]) -> list[str]:
+    """The numbers of a run of number words, the last with its suffix."""
+    number, out, repeat, suffix = Number(), [], 1, ""
+    for w, behind in zip(words, [*words[1:], Word("w")]):
+        if w.kind in "NM":
+            number.figure(_FIGURE.fullmatch(w.text)[2])
+        elif w.kind == "2":
+            repeat = w.number
+        elif w.kind == "." and behind.kind in "ZUETN":
+            number.write(".")
+        elif w.kind == "Z":
+            number.figures = "" if number.figures == "0" and not number.spelled else number.figures
+            number.write("0" * repeat)
+            repeat = 1
+        elif w.kind in "UETo":
+            if repeat > 1:
+                number.write(str(w.number) * repeat)
+                repeat = 1
             else:
-                self.close()
-                self.say(word)
-        self.close()
-        return self.out
+                number.small(w.number)
+        elif w.kind in "Ss":
+            ended = number.times(w.number)
+            out += [ended] if ended is not None else []
+        suffix = w.text if w.kind in "os" else ""
+    return [*out, number.figures + suffix]
 
 
 def digits_of_words(text: str) -> str:
     """Spelled numbers of lower-case words as digits: "two hundred and five" to 205, "twenty first" to 21st, "nineteen eighty
     four" to 1984, "double seven" to 77, "three point one four" to 3.14, "minus five dollars" to -$5's parts, "ten percent" to 10%."""
-    words = text.split()
-    if not any(w in LEXICON or w[-1].isdigit() for w in words):
-        return " ".join(words)
-    return " ".join(Reader(words).read())
+    said = text.split()
+    words = [_word(w) for w in said]
+    kinds = "".join(w.kind for w in words)
+    out, done = [], 0
+    for m in _AMOUNT.finditer(kinds):
+        out += said[done : m.start()]
+        first, done = m.start("number"), m.end()
+        if m["word"]:
+            out.append(words[done - 2].text + said[done - 1])
+            continue
+        if (m["unit"] or "").startswith("/") and said[done - 1] != "cent":
+            done -= 2  # "per" something else
+        unit = kinds[m.end("number") : done]
+        sign = words[first - 1].text if m["sign"] else _FIGURE.fullmatch(words[first].text)[1] if words[first].kind == "M" else ""
+        *others, last = _evaluated(words[first : m.end("number")])
+        if not last:  # a point that nothing follows has no unit either
+            unit, done = "", m.end("number")
+        sign = words[done - 1].text if unit == "$" else sign
+        for k, number in enumerate([*others, last]):
+            if not number:
+                continue
+            out.append((sign if k == 0 or unit == "$" and number is last else "") + number + ("%" if unit in ("%", "/$") and number is last else ""))
+    return " ".join(out + said[done:])
 
 
-_HALF = re.compile(r"\band\s+a\s+half\b")
+_HALF = re.compile(r"(?:(\S+)\s+)?\band\s+a\s+half\b")
+#: Between a letter and a figure, but not before an ending of a number; and the space before an ending.
+_TOUCH = re.compile(r"(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])(?!(?:st|nd|rd|th|s)\b)")
+_APART = re.compile(r"(?<=[0-9])\s+(?=(?:st|nd|rd|th|s)\b)")
 
 
 def number_rules_before(text: str) -> str:
     """ "two and a half" to "two point five"; letters and figures that touch are parted, but for the endings st, nd, rd, th and s."""
-    pieces = _HALF.split(text)
-    out = []
-    for k, piece in enumerate(pieces):
-        if piece.strip():
-            out.append(piece.strip())
-            if k < len(pieces) - 1:
-                last = piece.split()[-1]
-                out.append("point five" if last in _DECIMALS or LEXICON.get(last, Word("")).kind == "times" and not LEXICON[last].suffix else "and a half")
-    parted = re.sub(r"(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ", " ".join(out))
-    return re.sub(r"(?<=[0-9])\s+(?=(?:st|nd|rd|th|s)\b)", "", parted)
+
+    def half(m: re.Match) -> str:
+        if m[1] is None:
+            return ""
+        return m[1] + (" point five" if _word(m[1]).kind in tuple("ZUETS") else " and a half")
+
+    return _APART.sub("", _TOUCH.sub(" ", " ".join(_HALF.sub(half, text).split())))
+
+
+#: A whole sum with its cents, behind a dot or as a sum of their own.
+_SUM = re.compile(r"(?P<unit>[€£$])(?P<whole>[0-9]+)(?P<joint> (?:and )?¢|\.)(?P<cents>[0-9]{1,2})\b")
 
 
 def number_rules_after(text: str) -> str:
     """ "$2 and ¢7" to $2.07, "$0.07" to ¢7, and a lone "1" or "1s" as a word."""
-    if "¢" in text or "0" in text:
-        text = re.sub(r"(?P<whole>[€£$][0-9]+) (?:and )?¢(?P<cents>[0-9]{1,2})\b", lambda m: f"{m['whole']}.{m['cents']:0>2}", text)
-        text = re.sub(r"[€£$]0.(?P<cents>[0-9]{1,2})\b", lambda m: f"¢{int(m['cents'])}", text)
-    return re.sub(r"\b1(?=s?\b)", "one", text)
+
+    def joined(m: re.Match) -> str:
+        if m["whole"] == "0":
+            return f"¢{int(m['cents'])}"
+        return m[0] if m["joint"] == "." else f"{m['unit']}{m['whole']}.{m['cents']:0>2}"
+
+    return " ".join({"1": "one", "1s": "ones"}.get(w, w) for w in _SUM.sub(joined, text).split(" "))
 
 
 def normalized_numbers(text: str) -> str:
