@@ -23,10 +23,30 @@ def read_rows(spark: SparkSession, path: str, skip_header: bool = False) -> Data
     return rows.where("row_no > 0").withColumn("row_no", F.col("row_no")) if skip_header else rows
 
 
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, line_no, line. Files are read in splits, as Spark cuts them; a line's number is its place in its split and the lines of
+    the splits before, of which there is one small row each."""
+    placed = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"))
+    heads = placed.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("file").orderBy("block")) - F.col("_n")
+    heads = heads.select("file", "block", (ahead - F.col("_first")).alias("_shift"))
+    return placed.join(F.broadcast(heads), ["file", "block"]).select("file", "block", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0), line. A file is read whole, as its lines have no other order that Spark keeps: for files of a size that one task can hold."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r?\n$", "").alias("value"))
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """file, line_no (from 0), line, of files of any size: each split is a task's."""
+    return _split_lines(spark, path).drop("block")
+
+
+def _running(lines: DataFrame, **flags: Column) -> DataFrame:
+    """lines with, for each flag, how many lines of the file have it so far: summed within each split, and over the splits before it."""
+    marked = lines.withColumns({n: f.cast("long") for n, f in flags.items()})
+    here = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = marked.groupBy("file", "block").agg(*[F.sum(n).alias(n) for n in flags])
+    totals = totals.select("file", "block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in flags])
+    summed = marked.withColumns({n: F.sum(n).over(here) for n in flags}).join(F.broadcast(totals), ["file", "block"])
+    return summed.withColumns({n: F.col(n) + F.col(f"_{n}") for n in flags}).drop(*[f"_{n}" for n in flags])
 
 
 def read_columnar(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -53,8 +73,8 @@ def read_json_array(spark: SparkSession, path: str, schema: str | None = None) -
 def read_json_lines_with_refs(spark: SparkSession, text_path: str, ref_path: str) -> DataFrame:
     """line, ref for each line that is not blank; as many references as lines are demanded, by position."""
     def kept(path: str, name: str) -> DataFrame:
-        lines = numbered_lines(spark, path).where(F.btrim("line") != "")
-        return lines.select((F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).alias("n"), F.col("line").alias(name))
+        full = F.btrim("line") != ""
+        return _running(_split_lines(spark, path), n=full).where(full).select((F.col("n") - 1).alias("n"), F.col("line").alias(name))
 
     both = kept(text_path, "line").join(kept(ref_path, "ref"), "n", "full")
     bad = F.raise_error(F.lit("text and references differ in length")).cast("string")
@@ -84,20 +104,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_blank_separated(spark: SparkSession, path: str) -> DataFrame:
     """file, doc, line_no, line: a blank line begins a new document."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = numbered_lines(spark, path).withColumn("blank", F.btrim("line") == "")
-    return lines.withColumn("doc", F.sum(F.col("blank").cast("int")).over(w)).where("not blank").drop("blank")
+    blank = F.btrim("line") == ""
+    return _running(_split_lines(spark, path), doc=blank).where(~blank).select("file", "line_no", "line", "doc")
 
 
 def read_tagged_documents(spark: SparkSession, path: str) -> DataFrame:
     """file, doc, line_no, line: lines between <doc id= and </doc>, without the first, which is the title, and blank ones."""
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = numbered_lines(spark, path)
     opened, closed = F.contains("line", F.lit("<doc id=")), F.contains("line", F.lit("</doc>"))
-    marked = lines.withColumn("doc", F.sum(opened.cast("int")).over(w)).withColumn("done", F.sum(closed.cast("int")).over(w))
+    marked = _running(_split_lines(spark, path), doc=opened, done=closed)
     body = marked.where((F.col("doc") > F.col("done")) & ~opened & (F.btrim("line") != ""))
-    rank = F.row_number().over(Window.partitionBy("file", "doc").orderBy("line_no"))
-    return body.withColumn("rank", rank).where("rank > 1").drop("rank", "done")
+    title = F.min("line_no").over(Window.partitionBy("file", "doc"))
+    return body.withColumn("title", title).where("line_no > title").select("file", "line_no", "line", "doc")
 
 
 def read_text_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:

@@ -138,3 +138,37 @@ def test_streamed_words_and_chunks(spark, tmp_path):
     spark.createDataFrame(data, "stream_id long, seq int, piece binary, is_last boolean").coalesce(1).write.parquet(str(tmp_path / "c"))
     out = L.drained(L.emit_chunks(L.replay(spark, str(tmp_path / "c")), 6, 1, 1)).orderBy("chunk_no").collect()
     assert [(bytes(r.chunk), r.left, r.right) for r in out] == [(b"012345", 0, 1), (b"456789", 1, 1), (b"89", 1, 0)]
+
+
+def test_lines_of_split_files_have_the_numbers_of_the_whole(spark, tmp_path):
+    """A file in many splits, lines longer than a split, carriage returns, documents across splits."""
+    import random
+
+    rng = random.Random(4)
+    lines = [rng.choice(["", "x" * rng.randint(1, 900), "é\t" * 40, "<doc id=1>", "</doc>", "text\r"]) for _ in range(400)] + ["<doc id=9>", "title", "last"]
+    (tmp_path / "a.txt").write_bytes("\n".join(lines).encode())
+    (tmp_path / "b.txt").write_bytes(b"one\ntwo\n")
+    plain = [x.removesuffix("\r") for x in lines]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = R.numbered_lines(spark, str(tmp_path)).collect()
+        assert R._split_lines(spark, str(tmp_path / "a.txt")).select("block").distinct().count() > 4
+        assert [r.line for r in sorted(got, key=lambda r: r.line_no) if r.file.endswith("a.txt")] == plain
+        assert sorted((r.line_no, r.line) for r in got if r.file.endswith("b.txt")) == [(0, "one"), (1, "two")]
+        doc, want = 0, []
+        for k, x in enumerate(plain):
+            doc += x == ""
+            if x.strip(" "):
+                want.append((k, x, doc))
+        assert [(r.line_no, r.line, r.doc) for r in R.read_blank_separated(spark, str(tmp_path / "a.txt")).orderBy("line_no").collect()] == want
+        opened = closed = 0
+        want, first = [], {}
+        for k, x in enumerate(plain):
+            opened, closed = opened + ("<doc id=" in x), closed + ("</doc>" in x)
+            if opened > closed and "<doc id=" not in x and x.strip(" "):
+                if first.setdefault(opened, k) != k:
+                    want.append((k, x, opened))
+        assert [(r.line_no, r.line, r.doc) for r in R.read_tagged_documents(spark, str(tmp_path / "a.txt")).orderBy("line_no").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
