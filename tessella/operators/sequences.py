@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def islands(rows: DataFrame, keys: list[str], order: str, breaks: Column, name: str = "island") -> DataFrame:
@@ -165,3 +167,26 @@ def cumulative_means(batches: list[list[float]], compat: bool = False) -> Iterat
             mean = (mean * count + sum(batch)) / (count + n)
         count += n
         yield mean
+
+
+def folded(rows: DataFrame, keys: list[str], order: list[str], step: Callable[[object, dict], tuple[object, tuple]], start: object, schema: str) -> DataFrame:
+    """An ordered fold in which each row sees what the row before it left: step(state, row) gives the next state and an output row, of `schema`.
+
+    Rows go to the partition of their key and are sorted there; a task walks through them batch by batch and holds one state, so that a key
+    with very many rows takes time but no memory. Sorting spills as any other sort does.
+    """
+    fields = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, start
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                mine = tuple(row[k] for k in keys)
+                if key != (mine,):
+                    key, state = (mine,), start
+                state, made = step(state, row)
+                out.append(made)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(fields)], schema=fields)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)

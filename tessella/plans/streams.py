@@ -57,3 +57,11 @@ def stream_chunks(spark, d):
 @query("stream_dedup", "SELECT user_id, min(event_id) IS NOT NULL AS seen FROM events GROUP BY 1")
 def stream_dedup(spark, d):
     return S.drained(events(spark, d).dropDuplicates(["user_id"]).select("user_id", F.col("event_id").isNotNull().alias("seen")))
+
+
+@query("stream_interval_join", "SELECT c.event_id, p.event_id AS right_event_id, c.user_id FROM events c JOIN events p ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 6 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'")
+def stream_interval_join(spark, d):
+    """Purchases within six hours of a click, as two streams joined."""
+    side = lambda kind: events(spark, d).where(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+    joined = S.interval_join(side("click"), side("purchase"), "user_id", "ts", "6 hours", "40 days")
+    return S.drained(joined.select("event_id", "right_event_id", "user_id"))

@@ -21,10 +21,11 @@ def replay(spark: SparkSession, path: str, files_a_batch: int | None = None) ->
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drained(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], DataFrame] | None = None, state_rows: list[int] | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns what it wrote, from the folder that all machines share.
 
-    Results are files keyed by batch: a batch that runs again overwrites its own.
+    Results are files keyed by batch: a batch that runs again overwrites its own. state_rows takes the rows that the state
+    held after each batch.
     """
     spark = stream.sparkSession
     root = new_path(spark, "stream")
@@ -34,10 +35,22 @@ def drained(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame,
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
+    if state_rows is not None:
+        state_rows += [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress]
     out = spark.read.schema(stream.schema).option("basePath", f"{root}/out").parquet(f"{root}/out")
     return out.select(*stream.columns)
 
 
+def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str, within: str, late: str) -> DataFrame:
+    """Columns of left, and those of right with the prefix right_, of rows with the same key where right is no earlier than left and at most `within`
+    later. Both sides are streams with a watermark of `late`: rows that are too late are left out, and the state forgets what no row on
+    time can meet any more."""
+    marked = left.withWatermark(ts, late)
+    other = right.select(*[F.col(c).alias(f"right_{c}") for c in right.columns]).withWatermark(f"right_{ts}", late)
+    near = (F.col(f"right_{ts}") >= F.col(ts)) & (F.col(f"right_{ts}") <= F.col(ts) + F.expr(f"interval {within}"))
+    return marked.join(other, (F.col(key) == F.col(f"right_{key}")) & near)
+
+
 def tumbling(events: DataFrame, ts: str, key: str, value: str, width: str, late: str) -> DataFrame:
     """window_start, key, n, total of event-time windows; rows later than the watermark are left out."""
     g = events.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
