@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import language as L
 from ..operators import order as O
+from ..operators.storage import stored
 from .registry import query, table
 
 _WORDS = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
@@ -263,13 +265,16 @@ def top_vocab(spark, d):
     return _ngrams(table(spark, d, "benchmark")).orderBy(F.col("cnt").desc(), "n", "ngram").limit(200)
 
 
-@query("corpus_ngram_counts")
+_CORPUS = _TOKENS.replace("benchmark", "documents")
+
+
+@query("corpus_ngram_counts", f"WITH {_CORPUS} SELECT ngram, n, count(*) AS cnt FROM ({_GRAMS}) GROUP BY ALL")
 def corpus_ngram_counts(spark, d):
-    """ngram_counts over the whole corpus, as phrase mining has it; tests hold it against brute force."""
+    """ngram_counts over the whole corpus, as phrase mining has it."""
     return _ngrams(docs(spark, d))
 
 
-@query("corpus_top_vocab")
+@query("corpus_top_vocab", f"WITH {_CORPUS} SELECT ngram, n, count(*) AS cnt FROM ({_GRAMS}) GROUP BY ALL ORDER BY cnt DESC, n, ngram LIMIT 200")
 def corpus_top_vocab(spark, d):
     return corpus_ngram_counts(spark, d).orderBy(F.col("cnt").desc(), "n", "ngram").limit(200)
 
@@ -297,3 +302,21 @@ def blank_line_documents(spark, d):
     lines = docs(spark, d).select("doc_id", F.posexplode(F.split(F.replace("text", F.lit(". "), F.lit(".\n\n")), "\n")).alias("i", "line"))
     w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return lines.withColumn("part", F.sum((F.btrim("line") == "").cast("int")).over(w)).where(F.btrim("line") != "").groupBy("doc_id", "part").agg(F.count("*").alias("n_lines"))
+
+
+_PAIRS = f"""w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+e AS (SELECT doc_id, unnest(list_concat(['< >'], w[1 : len(w) - 1])) AS a, unnest(w) AS b FROM w WHERE len(w) > 0),
+c AS (SELECT a, b, count(*) AS n FROM e GROUP BY 1, 2),
+k AS (SELECT CAST(count(*) FILTER (WHERE n = 1) AS DOUBLE) AS n1, count(*) FILTER (WHERE n = 2) AS n2, count(*) FILTER (WHERE n = 3) AS n3, count(*) FILTER (WHERE n = 4) AS n4, count(*) AS all_ FROM c),
+y AS (SELECT *, n1 / (n1 + 2 * n2) AS y FROM k),
+z AS (SELECT 1 - 2 * y * n2 / n1 AS d1, 2 - 3 * y * n3 / n2 AS d2, 3 - 4 * y * n4 / n3 AS d3, all_ FROM y),
+d AS (SELECT a, b, n, CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END AS d, all_ FROM c, z),
+p AS (SELECT a, b, (n - d) / sum(n) OVER (PARTITION BY a) + sum(d) OVER (PARTITION BY a) / sum(n) OVER (PARTITION BY a) * count(*) OVER (PARTITION BY b) / all_ AS p FROM d)"""
+
+
+@query("corpus_perplexity", f"WITH {_PAIRS} SELECT doc_id, count(*) AS n_words, round(sum(-ln(p)), 4) AS nll, round(exp(sum(-ln(p)) / count(*)), 4) AS perplexity FROM e JOIN p USING (a, b) GROUP BY 1")
+def corpus_perplexity(spark, d):
+    """Every document by a smoothed model of all documents."""
+    pairs = stored(L.word_pairs(docs(spark, d), "doc_id", T.tokens(F.col("text"))), "word-pairs")
+    scores = L.KneserNey(pairs).scores(pairs)
+    return scores.select(F.col("id").alias("doc_id"), "n_words", F.round("nll", 4).alias("nll"), F.round("perplexity", 4).alias("perplexity"))

@@ -86,3 +86,23 @@ def test_joined_streams_equal_the_batch_join_and_forget(spark, tmp_path):
     want = {(a[0], b[0]) for a in rows for b in rows if a[3] == "click" and b[3] == "buy" and a[1] == b[1] and a[2] <= b[2] <= a[2] + dt.timedelta(minutes=30)}
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 1000
     assert len(held) >= 30 and max(held) < 250
+
+
+def test_model_of_pairs_adds_up_to_one(spark):
+    from tessella.operators.language import START, KneserNey, word_pairs
+
+    texts = ["a b a b c", "a b c d", "b c", "", None, "a a a b", "d c b a b", "a b c d e a b c", "e e e e a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    pairs = word_pairs(docs, "id", T.tokens(F.col("text")))
+    model = KneserNey(pairs)
+    p = {(r.before, r.word): r.p for r in model.table.collect()}
+    share, spread = {r.before: r.share for r in model.backing.collect()}, {r.word: r.spread for r in model.spread.collect()}
+    for before in "abcde":
+        assert sum(p.get((before, w), share[before] * spread[w]) for w in spread) == pytest.approx(1)
+    other = spark.createDataFrame([(1, "a d"), (2, "e unknown"), (3, "d d")], "id long, text string")
+    got = {r.id: r for r in model.scores(word_pairs(other, "id", T.tokens(F.col("text")))).collect()}
+    first = p.get((START, "a"))
+    import math
+
+    assert got[1].nll == pytest.approx(-math.log(first) - math.log(p.get(("a", "d"), share["a"] * spread["d"])))
+    assert got[2].perplexity == math.inf and got[3].n_words == 2
