@@ -43,19 +43,20 @@ def split_by_answer(rows: DataFrame, has_answer: str, *scores: str) -> DataFrame
 def best_threshold(rows: DataFrame, key: str, score: str, na_prob: str, has_answer: str, empty: str) -> DataFrame:
     """best (percent), threshold, has_answer_mean: the no-answer threshold with the first strictly greatest total.
 
-    Items in order of na_prob add their score, or -1 where they have no answer but a prediction; the total starts
-    at the number of items without answer. Sums of equal thresholds and of ranges come first, so no window
-    spans the rows of the table.
+    Items in order of na_prob and key add their score, or -1 where they have no answer but a prediction; the total starts
+    at the number of items without answer. Running sums go by blocks of numbered items, so no window spans the rows of the
+    table, nor those of a threshold that many share.
     """
+    from .order import with_row_number
+
     gain = F.when(F.col(has_answer), F.col(score)).otherwise(F.when(F.col(empty), 0.0).otherwise(-1.0))
     base = rows.select(F.col(na_prob).alias("na"), F.col(key).alias("k"), gain.alias("g"), F.col(has_answer).alias("h"), F.col(score).alias("s"))
-    cut = F.floor(F.least(F.greatest(F.col("na"), F.lit(0.0)), F.lit(1.0)) * 1000)
-    base = base.withColumn("cut", cut)
-    sums = base.groupBy("cut").agg(F.sum("g").alias("sum"))
-    before = sums.select("cut", F.coalesce(F.sum("sum").over(Window.orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))  # 1001 rows at most
+    base = with_row_number(base, "na", "k", name="row").withColumn("block", F.floor(F.col("row") / 8192))
+    sums = base.groupBy("block").agg(F.sum("g").alias("sum"))
+    before = sums.select("block", F.coalesce(F.sum("sum").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))  # a row for each block
     start = base.agg(F.sum(F.when(~F.col("h"), 1.0).otherwise(0.0)).alias("start"), F.count("*").alias("n"), F.sum(F.when(F.col("h"), 1).otherwise(0)).alias("n_has"), F.sum(F.when(F.col("h"), F.col("s"))).alias("has_sum"))
-    within = F.sum("g").over(Window.partitionBy("cut").orderBy("na", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    swept = base.withColumn("within", within).join(F.broadcast(before), "cut").crossJoin(F.broadcast(start)).withColumn("total", F.round(F.col("start") + F.col("before") + F.col("within"), ROUND))
+    within = F.sum("g").over(Window.partitionBy("block").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    swept = base.withColumn("within", within).join(before, "block").crossJoin(F.broadcast(start)).withColumn("total", F.round(F.col("start") + F.col("before") + F.col("within"), ROUND))
     best = swept.agg(F.min(F.struct((-F.col("total")).alias("t"), "na", "k")).alias("b"), F.first("start").alias("start"), F.first("n").alias("n"), F.first("n_has").alias("n_has"), F.first("has_sum").alias("has_sum"))
     none = (-F.col("b.t")) <= F.col("start")
     has = F.round(F.col("has_sum") / F.col("n_has"), ROUND)

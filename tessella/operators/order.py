@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def with_row_number(df: DataFrame, key: str, *ties: str, name: str = "row_id", parts: int | None = None) -> DataFrame:
-    """Numbers from 0 in order of a numeric key and ties. Rows are dealt into ranges of the key; a row's number
-    is the count of the ranges before, which is small, and its rank within its own."""
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.5 / parts))) if parts > 1 else []
-    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
-    ranged = df.withColumn("_range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at))
+    """Numbers from 0 in order of a key and ties, nulls first. Rows are dealt into ranges of the key and the ties together, so that a key which
+    many rows share is several tasks', and sorted there; a row's number is its place in its range and the rows of the ranges
+    before, of which there is one small row each. The ranges are stored, as Spark may cut them elsewhere the next time."""
+    order = [F.col(c).asc_nulls_first() for c in (key, *ties)]
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    ranged = ranged.withColumn("_range", F.shiftright("_place", 33))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_count"))
     before = counts.select("_range", (F.sum("_count").over(Window.orderBy("_range")) - F.col("_count")).alias("_before"))  # a row for each range
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(F.col(key).asc_nulls_first(), *ties))
-    return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + rank - 1).drop("_range", "_before")
+    number = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, number).drop("_range", "_before", "_place")
 
 
 def shard_rest_to_last(row: Column, n: Column | int, shards: int) -> Column:
