@@ -70,8 +70,8 @@ def test_multilingual(spark):
     assert value(spark, T.normalize_multilingual(F.lit("Hello <tag> (aside) [x] wörld!"))) == "hello wörld "
 
 
+def test_english_normalized():
     assert english_normalized("Mr. Smith won't pay $1,000, uh, I've said [noise]").split() == "mister smith will not pay $1000 i have said".split()
-    assert value(spark, T.english_rewrite(F.lit("Mr. Smith won't pay $1,000, uh, I've said [noise]"))).split() == "mister smith will not pay $1000 i have said".split()
 
 
 def test_abbreviations_and_ascii(spark):
