@@ -1,9 +1,10 @@
 """A stored text index: posting blocks with the largest score of each, and a top-k search that skips blocks.
 
 Documents are cut into segments of a bounded number. A segment's postings of a word are blocks of at most BLOCK documents, each
-with the words' weights (BM25 without the idf) and the largest of them. Files are sorted by word, so that a search reads the row
-groups of its own words. It sums a query's words from the weightiest on; once what the remaining words could add is less than what the
-k-th best already has, only documents that could still reach it are looked up, and blocks without any are skipped.
+with the words' weights (BM25 without the idf) and the largest of them. Files are sorted by word: of a few words the scan's filter
+leaves the row groups that hold them, of many those between the first and the last. A search sums a query's words from the weightiest
+on; once what the remaining words could add is less than what the k-th best already has, only documents that could still reach it
+are looked up, and blocks without any are skipped.
 """
 
 from __future__ import annotations
